@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing
+from . import chat_format, decontaminate, exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op2_secrets": secrets.query,
     "op6_chat_format": chat_format.query,
     "op7_mixing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_decontaminate": decontaminate.query,
 }
 SQL = {
+    "op2_secrets": secrets.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
