@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, mixing, secrets
+from . import chat_format, decontaminate, exact_dedup, minhash_dedup, mixing, secrets
 
 QUERIES = {
     "op2_secrets": secrets.query,
+    "op4_minhash_dedup": minhash_dedup.query,
     "op6_chat_format": chat_format.query,
     "op7_mixing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 SQL = {
     "op2_secrets": secrets.SQL,
+    "op4_minhash_dedup": minhash_dedup.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
