@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, minhash_dedup, mixing, secrets
+from . import chat_format, decontaminate, exact_dedup, minhash_dedup, mixing, secrets, substring_dedup
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op4_minhash_dedup": minhash_dedup.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_chat_format": chat_format.query,
     "op7_mixing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
