@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, minhash_dedup, mixing, secrets, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, secrets, substring_dedup, token_output
 
 QUERIES = {
     "op2_secrets": secrets.query,
+    "op3_language_id": language_id.query,
     "op4_minhash_dedup": minhash_dedup.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_chat_format": chat_format.query,
     "op7_mixing": mixing.query,
+    "op10_token_output": token_output.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
 }
