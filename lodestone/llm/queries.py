@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, secrets, substring_dedup, token_output
+from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, secrets, substring_dedup, token_output, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_secrets": secrets.query,
     "op3_language_id": language_id.query,
     "op4_minhash_dedup": minhash_dedup.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
 }
 SQL = {
+    "op1_url_filter": url_filter.SQL,
     "op2_secrets": secrets.SQL,
     "op4_minhash_dedup": minhash_dedup.SQL,
     "op6_chat_format": chat_format.SQL,
