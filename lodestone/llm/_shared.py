@@ -253,17 +253,47 @@ def repeat_filter(df: DataFrame, key: str, rows: int) -> RepeatFilter:
 # connected components
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+ONE_TASK = 1_000_000  # edges (16 MB) that one task joins at most
+
+
+def _union(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of edges."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        nxt = label.copy()
+        np.minimum.at(nxt, label[a], low)
+        np.minimum.at(nxt, label[b], low)
+        while (nxt[nxt] != nxt).any():
+            nxt = nxt[nxt]
+        nxt = nxt[label]
+        if (nxt == label).all():
+            return names, names[label]
+        label = nxt
+
+
+def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label) for the nodes of edges (u, v); label is the smallest node
-    of the component. Alternating large-star and small-star steps, each
-    written to the shared folder; ends when a round changes nothing.
+    of the component.
+
+    Up to ``one_task`` edges are joined by one task. More of them take
+    alternating large-star and small-star rounds, each written to the shared
+    folder, until a round changes nothing.
     """
+    def local(batches):
+        e = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if e:
+            node, label = _union(*map(np.concatenate, zip(*e)))
+            yield pa.record_batch({"node": pa.array(node), "label": pa.array(label)})
+
     def star(e: DataFrame, both: bool) -> DataFrame:
         if both:
             near = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             near = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         joined = near.join(low, "u")
         if both:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -274,8 +304,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    edges = scratch.save(edges.select("u", "v").where("u != v").distinct())
+    edges = scratch.save(edges.select("u", "v").where("u != v"))
     before = state(edges)
+    if before[0] <= one_task:
+        out = scratch.save(edges.coalesce(1).mapInArrow(local, "node long, label long"))
+        scratch.drop(edges)
+        return out
     while True:
         nxt = scratch.save(star(star(edges, True), False))
         scratch.drop(edges)

@@ -14,8 +14,9 @@
 Buckets and families above ``BLOCK`` members are dealt as pairs of blocks, so
 no task holds more than two blocks of one group and no comparison is left out.
 
-A pair at the threshold misses every band with probability 2.6e-7 and is
-refused by its sketches with probability below 1e-6; above it both fall fast.
+A pair at similarity 0.8 misses every band with probability 2.8e-7 (2.1e-10 at
+0.85) and a pair at the threshold is refused by its sketches with probability
+below 1e-6; above it both fall fast.
 
 Defined results: A-Z are lower-cased; a text with fewer than 5 words is one
 shingle; null or blank text has an empty set and is linked with nothing; rows
@@ -34,7 +35,7 @@ from ._shared import Scratch, chunks, components, mix, null_safe_key, powers, re
 
 WORDS = 5
 THRESHOLD = 85  # per cent, of intersection to union
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 38, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 BLOCK = 2048
@@ -119,6 +120,7 @@ def _sign(batches):
             keys, sketches = iter(keys.tolist()), iter(sketches)
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"),
+                "text_key": part.column("text_key"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array(node_ids(sets)),
                 "bands": pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
@@ -217,30 +219,28 @@ def _by_sets(limit: int, threshold: int):
     return run
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows (key, node, ...) with the pair of blocks (b1, b2) that each row is
-    compared in: (0, 0) for groups up to block members."""
-    many = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+def _dealt(rows: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """rows (key, node, ...), by key and the pair of blocks (b1, b2) that each
+    row is compared in: (0, 0) for groups up to block members. groups has the
+    keys of rows, once for each."""
+    many = groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
     r = rows.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     r = r.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return r.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("own", "other", "parts")
-
-
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    return _blocks(rows, block).repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    r = r.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("own", "other", "parts")
+    return r.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id", text_col="text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, and
-    ``first``: whether the row is the one of its component that stays when
-    several rows share the smallest id."""
+    """One row per row of docs: doc_id, text_key (xxhash64 of the text),
+    n_shingles, component_id, kept, and ``first``: whether the row is the one of
+    its component that stays when several rows share the smallest id."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     limit = most_bits(threshold)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.save(d.mapInArrow(_sign, "doc_id long, n_shingles long, node long, bands array<long>, sketch binary"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    signed = scratch.save(d.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, sketch binary"))
     rows = signed.withColumn("row", F.monotonically_increasing_id())
     nodes = scratch.save(signed.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("doc_id").alias("doc_id")))
     keys = nodes.select(F.explode("bands").alias("key"))
@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
                 if len(owner):
                     yield pa.record_batch({"key": pa.array(flat[keep]), "node": b.column("node").take(pa.array(owner)), "sketch": b.column("sketch").take(pa.array(owner))})
 
-    buckets = nodes.select("node", "bands", "sketch").mapInArrow(shared, "key long, node long, sketch binary")
-    maybe = _dealt(buckets, block).mapInArrow(_by_sketch(limit), "u long, v long")
+    buckets = scratch.save(nodes.select("node", "bands", "sketch").mapInArrow(shared, "key long, node long, sketch binary"))
+    maybe = _dealt(buckets, buckets, block).mapInArrow(_by_sketch(limit), "u long, v long")
     families = scratch.save(components(scratch, maybe).withColumnRenamed("label", "key"))
     # the full sets of family members, from one text of each class
     wanted = families.join(nodes.select("node", "sketch", "doc_id"), "node")
@@ -272,17 +272,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
 
     sets = texts.select("text").mapInArrow(members, "node long, members binary").dropDuplicates(["node"])
     full = wanted.select("key", "node", "sketch").join(sets, "node").select("key", "node", "sketch", "members")
-    links = _dealt(full, block).mapInArrow(_by_sets(limit, threshold), "u long, v long")
+    links = _dealt(full, families, block).mapInArrow(_by_sets(limit, threshold), "u long, v long")
     label = scratch.cut(components(scratch, links))
-    r = rows.join(label, "node", "left").select("doc_id", "n_shingles", "row", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
-    linked = r.where("label is not null")
-    low = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = linked.join(low, "label").withColumn("top", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = out.where("top").groupBy("label").agg(F.min("row").alias("first_row"))
-    out = out.join(first, "label").select("doc_id", "n_shingles", "component_id", F.col("top").alias("kept"), (F.col("row") == F.col("first_row")).alias("first"))
-    alone = r.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first"))
-    out = scratch.cut(out.union(alone))
-    scratch.drop(signed, nodes, families)
+    r = rows.join(label, "node", "left").select("doc_id", "text_key", "n_shingles", "row", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+    low = r.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("low"))
+    out = r.join(low, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
+    first = F.col("label").isNull() | (F.col("row") == F.col("low.row"))
+    out = scratch.cut(out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), first.alias("first")))
+    scratch.drop(signed, nodes, buckets, families)
     return out
 
 

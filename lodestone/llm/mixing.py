@@ -79,8 +79,9 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = BLOCK, seed: str = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = BLOCK, seed: str = SEED, id_col="doc_id", text_col="text", source_col="source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken,
+    and the carried columns.
 
     Texts are read once into rows of (id, source, size, order key). The order
     key's first digits are a bucket: sums per (source, bucket), pre-aggregated,
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     16**BUCKET_HEX tasks.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_HEX)).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     sums = rows.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     whole = F.coalesce(F.expr("try_divide(take, source_size)").cast("long"), F.lit(0))
     rest = F.col("take") - whole * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
