@@ -137,54 +137,57 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
     digits = contents.groupBy("digit").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 AND least = 1")
     open_ = contents.join(digits.select("digit", "contents"), "digit")
 
-    def windows(batches):
+    def cut_out(batches):
         for b in batches:
-            own = [x.as_py() for x in b.column("open")]
-            texts = [_bytes(t) for t in b.column("text").to_pylist()]
-            for rows in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 1, PIECE):
-                p = Prefix(b"".join(texts[i] for i in rows))
-                base, out = 0, []
-                for i in rows:
-                    for o in own[i]:
-                        s = np.arange(o["lo"], o["hi"] + 1) + base
-                        out.append((o["digit"], o["n"], o["contents"], b.column("id")[i].as_py(), b.column("text_key")[i].as_py(), o["lo"], p.hash(s, s + depth)))
-                    base += len(texts[i])
-                for k in range(0, len(out), 20_000):
-                    c = list(zip(*out[k : k + 20_000]))
-                    flat = pa.array(np.concatenate(c[6]).view(np.int64))
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c[6]])]).astype(np.int32))
-                    yield pa.record_batch({"digit": pa.array(c[0], pa.int64()), "n": pa.array(c[1], pa.int64()), "contents": pa.array(c[2], pa.int64()), "id": pa.array(c[3], pa.int64()), "text_key": pa.array(c[4], pa.int64()), "lo": pa.array(c[5], pa.int32()), "hashes": pa.ListArray.from_arrays(offsets, flat)})
+            ids, keys, texts = b.column("id").to_pylist(), b.column("text_key").to_pylist(), b.column("text")
+            for i, own in enumerate(b.column("open").to_pylist()):
+                data = _bytes(texts[i].as_py())
+                for k in range(0, len(own), 20_000):
+                    c = list(zip(*[(o["digit"], o["n"], o["contents"], ids[i], keys[i], o["lo"], data[o["lo"] : o["hi"] + depth]) for o in own[k : k + 20_000]]))
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(c, _PART.types)], schema=_PART)
 
     by_doc = open_.groupBy("id", "text_key").agg(F.collect_list(F.struct("digit", "n", "contents", "lo", "hi")).alias("open"))
-    hashed = docs.join(by_doc, ["id", "text_key"]).select("id", "text_key", "text", "open").mapInArrow(windows, "digit long, n long, contents long, id long, text_key long, lo int, hashes array<long>")
-    hashed = scratch.save(hashed)
-    scratch_rows = hashed.dropDuplicates(["digit", "id", "text_key", "lo"])
-    small, large = scratch_rows.where(F.col("contents") <= group), scratch_rows.where(F.col("contents") > group)
+    # a repeated row yields its parts twice; those have n > 1, for which more is the same
+    parts = docs.join(by_doc, ["id", "text_key"]).select("id", "text_key", "text", "open").mapInArrow(cut_out, _PART_SQL)
+    parts = scratch.save(parts)
+
+    def hashes(b: pa.Table):
+        """Window hashes under their digits, each window's row and place."""
+        data = b.column("data").to_pylist()
+        p = Prefix(b"".join(data))
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        many = size - depth + 1
+        owner = np.repeat(np.arange(len(data)), many)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        s = place + (np.cumsum(size) - size)[owner]
+        digit = mix(b.column("digit").to_numpy().view(np.uint64))[owner]
+        return mix(p.hash(s, s + depth) + digit), owner, place
 
     def compare(batches):
-        for g in _by_digit(batches):
-            lists = g.column("hashes").combine_chunks()
-            flat = lists.flatten().to_numpy()
-            size = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(size)), size)
-            n = g.column("n").to_numpy()
-            _, inv = np.unique(flat, return_inverse=True)
-            hit = np.bincount(inv, weights=n[owner])[inv] > 1.5
-            # only contents that occur once are open
-            hit &= n[owner] == 1
-            if not hit.any():
+        for g in _whole_digits(batches):
+            h, owner, place = hashes(g)
+            n = g.column("n").to_numpy()[owner]
+            _, inv = np.unique(h, return_inverse=True)
+            hit = (np.bincount(inv, weights=n)[inv] > 1.5) & (n == 1)
+            own, s = owner[hit], (place + g.column("lo").to_numpy()[owner])[hit]
+            if not len(s):
                 continue
-            s = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + g.column("lo").to_numpy()[owner]
-            own, s = owner[hit], s[hit]
             new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)]))
             last = np.concatenate([new[1:] - 1, [len(s) - 1]])
-            at = pa.array(own[new])
-            yield pa.record_batch({"id": g.column("id").combine_chunks().take(at), "text_key": g.column("text_key").combine_chunks().take(at), "lo": pa.array(s[new].astype(np.int32)), "hi": pa.array((s[last] + depth).astype(np.int32))})
+            at = own[new]
+            yield pa.record_batch({"id": pa.array(g.column("id").to_numpy()[at]), "text_key": pa.array(g.column("text_key").to_numpy()[at]), "lo": pa.array(s[new].astype(np.int32)), "hi": pa.array((s[last] + depth).astype(np.int32))})
 
-    found = small.repartition("digit").sortWithinPartitions("digit").mapInArrow(compare, "id long, text_key long, lo int, hi int")
-    flat = large.select("digit", "n", "id", "text_key", "lo", F.posexplode("hashes").alias("i", "hash"))
-    again = flat.groupBy("digit", "hash").agg(F.sum("n").alias("total")).where("total > 1")
-    spread = flat.where("n = 1").join(again, ["digit", "hash"], "left_semi").select("id", "text_key", (F.col("lo") + F.col("i")).cast("int").alias("lo"), (F.col("lo") + F.col("i") + depth).cast("int").alias("hi"))
+    def expand(batches):
+        for b in batches:
+            for rows in chunks(list(range(b.num_rows)), lambda i, d=b.column("data"): len(d[i].as_py()), PIECE):
+                own = pa.Table.from_batches([b.slice(rows[0], len(rows))])
+                h, owner, place = hashes(own)
+                yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "n": pa.array(own.column("n").to_numpy()[owner]), "id": pa.array(own.column("id").to_numpy()[owner]), "text_key": pa.array(own.column("text_key").to_numpy()[owner]), "lo": pa.array((own.column("lo").to_numpy()[owner] + place).astype(np.int32))})
+
+    found = parts.where(F.col("contents") <= group).repartition("digit").sortWithinPartitions("digit").mapInArrow(compare, "id long, text_key long, lo int, hi int")
+    flat = parts.where(F.col("contents") > group).mapInArrow(expand, "hash long, n long, id long, text_key long, lo int")
+    again = flat.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
+    spread = flat.where("n = 1").join(again, "hash", "left_semi").select("id", "text_key", "lo", (F.col("lo") + depth).alias("hi"))
 
     def unite(batches):
         for b in batches:
@@ -198,28 +201,33 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
     every = settled.union(found).union(spread)
     spans = every.groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("all")).mapInArrow(unite, "id long, text_key long, spans array<struct<lo:int,hi:int>>")
     out = scratch.cut(spans)
-    scratch.drop(maybe, contents, hashed)
+    scratch.drop(maybe, contents, parts)
     return out
 
 
-def _by_digit(batches):
-    """Tables of the rows of one digit, from batches sorted by digit."""
-    held: list[pa.RecordBatch] = []
+_PART_SQL = "digit long, n long, contents long, id long, text_key long, lo int, data binary"
+_PART = pa.schema([("digit", pa.int64()), ("n", pa.int64()), ("contents", pa.int64()), ("id", pa.int64()), ("text_key", pa.int64()), ("lo", pa.int32()), ("data", pa.binary())])
+
+
+def _whole_digits(batches, rows: int = 4096):
+    """Tables of all rows of some digits, from batches sorted by digit; about
+    ``rows`` rows, or those of one digit."""
+    held, n = [], 0
     for b in batches:
         if not b.num_rows:
             continue
         k = b.column("digit").to_numpy()
-        if held and held[-1].column("digit")[held[-1].num_rows - 1].as_py() != k[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for i, (s, e) in enumerate(zip(edges, edges[1:])):
-            held.append(b.slice(s, e - s))
-            if i < len(edges) - 2:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
+        cuts = np.flatnonzero(np.concatenate([[not held or held[-1].column("digit")[held[-1].num_rows - 1].as_py() != k[0]], k[1:] != k[:-1]]))
+        at = 0
+        for c in cuts.tolist():
+            if n + c - at >= rows:
+                held.append(b.slice(at, c - at))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n, at = [], 0, c
+        held.append(b.slice(at))
+        n += b.num_rows - at
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, group: int = GROUP, id_col="doc_id", text_col="text") -> DataFrame:
