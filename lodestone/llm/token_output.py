@@ -19,22 +19,23 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, chunks, ship
+from ._shared import _BASE, Scratch, chunks, mix, powers, ship
 
 END_ID = 0
 BLOCK = 1024
 PAGE_IDS = 1 << 18
+PAGE_CHARS = 1 << 19
 #: selector -> (values in a word, bits of each); 0 is the escape
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 _BY_COUNT = {n: (s, w) for s, (n, w) in SELECTORS.items()}
 _WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 _COUNT = np.array([1] + [SELECTORS[s][0] for s in sorted(SELECTORS)], np.int64)
 MAX_SHARDS = 200_000  # shard offsets that are broadcast at most
 
@@ -50,8 +51,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = np.zeros(blocks * BLOCK, np.uint64)
     v[:n] = values
     # bit lengths; a column of 127 after each block keeps words inside it
-    exponent = np.frexp(v.astype(np.float64))[1]
-    exponent -= np.ldexp(0.5, exponent) > v  # rounded up to a power of two
+    if v.size and v.max() < len(_BITS):
+        exponent = _BITS[v]
+    else:
+        exponent = np.frexp(v.astype(np.float64))[1]
+        exponent -= np.ldexp(0.5, exponent) > v  # rounded up to a power of two
     grid = np.full((blocks, BLOCK + 60), 127, np.int8)
     grid[:, :BLOCK] = exponent.reshape(blocks, BLOCK)
     flat, peak = grid.ravel(), {1: grid.ravel()}
@@ -124,63 +128,169 @@ def decode_block(words: np.ndarray, block_words: np.ndarray, block: int) -> np.n
 # --------------------------------------------------------------------------
 # tokens
 
+SPACE_BYTE = "Ġ"  # the vocabulary's sign for the byte 0x20
 SIMPLE = "ɏ"  # up to here, letter and number classes are spelled out below
 
 
-def _ranges(test) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(ord(SIMPLE) + 1) if test(unicodedata.category(chr(c))[0]))
+class _Table:
+    """Ids of known pieces by the hash of the piece: open addressing in arrays.
+    Cleared when it holds MOST pieces."""
+
+    MOST = 1_500_000
+    SLOTS = 1 << 22
+
+    def __init__(self):
+        self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.n, self.used = 0, 0
+        self.at, self.size, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            on = ~hit & (k != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Distinct new hashes and, end to end, the ids of their pieces."""
+        first = self.n
+        self.n += len(h)
+        while self.n > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.at[first : self.n] = self.used + np.cumsum(size) - size
+        self.size[first : self.n] = size
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        todo, slot = np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            won = free & (self.keys[slot] == h[todo])
+            self.entry[slot[won]] = first + todo[won]
+            todo, slot = todo[~won], (slot[~won] + 1) & (self.SLOTS - 1)
+
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[entry]
+        ends = np.cumsum(size)
+        at = np.repeat(self.at[entry] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.pool[at], size
 
 
 class Tokens:
-    """Ids of whole texts, as the library gives them. Texts of simple
-    characters are cut into the pieces that the byte-level pre-tokenizer makes;
-    each distinct piece is encoded by the library once and kept, up to a bound.
-    Other texts, and those with a special token, are encoded as a whole."""
+    """Ids of whole texts, as the library gives them.
 
-    MOST = 400_000
+    Texts of simple characters are cut, all at once, into the pieces that the
+    byte-level pre-tokenizer makes; each distinct piece is encoded by the
+    library once and known from then on by its hash. Other texts (characters
+    beyond SIMPLE, apostrophes, special tokens) are encoded as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        letter, number, space = _ranges("L".__eq__), _ranges("N".__eq__), "\\t-\\r\\x20\\x85\\xa0"
-        self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([f"[^\\x00-{SIMPLE}]", *special])).search
-
-    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, self.lib.encode_batch_fast(pieces, add_special_tokens=False))}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if self.whole(t)]
-        full = self._fresh_list([texts[i] for i in whole])
-        whole_at = dict(zip(whole, full))
-        pieces = [None if i in whole_at else self.piece(t) for i, t in enumerate(texts)]
-        new = set().union(*[p for p in pieces if p]).difference(self.cache)
-        known = self.cache
-        if new:
-            fresh = self._fresh(list(new))
-            if len(self.cache) + len(fresh) <= self.MOST:
-                self.cache.update(fresh)
-            else:
-                known = self.cache | fresh if len(fresh) > len(self.cache) else _Two(self.cache, fresh)
-        get = known.__getitem__
-        return [whole_at[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(pieces)]
-
-    def _fresh_list(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-
-class _Two(dict):
-    def __init__(self, kept: dict, fresh: dict):
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
+        self.table = _Table()
+        kinds = [unicodedata.category(chr(c))[0] for c in range(ord(SIMPLE) + 1)]
+        self.kind = np.array([1 if k == "L" else 2 if k == "N" else 3 for k in kinds], np.uint8)
+        self.kind[[*range(9, 14), 0x20, 0x85, 0xA0]] = 0
+        self.code = np.random.default_rng(9).integers(0, 2**64, len(kinds), dtype=np.uint64)
+        letters = "".join(f"\\u{c:04x}" for c, k in enumerate(kinds) if k == "L")
+        self.spaced = re.compile(f" [{letters}]+").fullmatch
+        self.beyond = re.compile(f"[^\\x00-{SIMPLE}]").search
+        self.special = ["'", *[t.content for t in self.lib.get_added_tokens_decoder().values()]]
+        vocabulary = self.lib.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE_BYTE)]] = True
+
+    def _whole(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.beyond(text):
+                return True
+        return any(t in text for t in self.special)
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: list[str], h: np.ndarray) -> None:
+        """Pieces of a space and letters are encoded many at a time, end to
+        end: the pre-tokenizer parts them again, and a token that begins with a
+        space begins a piece."""
+        mask = np.fromiter((self.spaced(p) is not None for p in pieces), bool, len(pieces))
+        for k in range(0, len(pieces), 1000):
+            some = np.flatnonzero(mask[k : k + 1000]) + k
+            rest = np.flatnonzero(~mask[k : k + 1000]) + k
+            if len(some):
+                ids = self._alone(["".join([pieces[i] for i in some])])[0]
+                at = np.flatnonzero(self.opens[ids])
+                if len(at) == len(some):
+                    self.table.add(h[some], ids, np.diff(at, append=len(ids)))
+                else:
+                    rest = np.concatenate([rest, some])
+            if len(rest):
+                ids = self._alone([pieces[i] for i in rest])
+                self.table.add(h[rest], np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(the texts end to end, their characters, starts of the pieces, piece counts of texts)."""
+        data = "".join(texts)
+        c = np.frombuffer(data.encode("utf-16-le"), np.uint16)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.zeros(len(c) + 1, bool)
+        begin[np.cumsum(size) - size] = True
+        begin = begin[:-1]
+        kind = self.kind[c]
+        start = begin.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        # of white space before something else, the last character stands
+        # alone, or goes with what follows if it is a blank
+        e = np.flatnonzero(start[1:] & ~begin[1:] & (kind[:-1] == 0)) + 1
+        start[e - 1] = True
+        start[e[c[e - 1] == 32]] = False
+        s = np.flatnonzero(start)
+        return data, c, s, np.diff(np.searchsorted(s, np.concatenate([[0], np.cumsum(size)])))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end to end; number of ids of each)."""
+        whole = np.fromiter(map(self._whole, texts), bool, len(texts))
+        simple = [t for t, w in zip(texts, whole) if not w]
+        flat, count = np.zeros(0, np.uint32), np.zeros(len(simple), np.int64)
+        if simple:
+            data, c, s, pieces = self._pieces(simple)
+            e = np.append(s[1:], len(c))
+            sums = np.zeros(len(c) + 1, np.uint64)
+            np.cumsum(self.code[c] * powers(_BASE, len(c)), out=sums[1:])
+            h = mix((sums[e] - sums[s]) * powers(pow(_BASE, -1, 2**64), len(c) + 1)[s] + (e - s).astype(np.uint64))
+            h[h == 0] = 1
+            if self.table.n > self.table.MOST:
+                self.table.clear()
+            entry = self.table.find(h)
+            gaps = np.flatnonzero(entry < 0)
+            if len(gaps):
+                new, at = np.unique(h[gaps], return_index=True)
+                self._learn([data[a:b] for a, b in zip(s[gaps[at]].tolist(), e[gaps[at]].tolist())], new)
+                entry[gaps] = self.table.find(h[gaps])
+            flat, size = self.table.ids(entry)
+            upto = np.concatenate([[0], np.cumsum(size)])
+            cut = np.concatenate([[0], np.cumsum(pieces)])
+            count = upto[cut[1:]] - upto[cut[:-1]]
+        if not whole.any():
+            return flat, count
+        own = iter(np.split(flat, np.cumsum(count)[:-1])) if simple else iter(())
+        full = iter(self._alone([t for t, w in zip(texts, whole) if w]))
+        out = [next(full) if w else next(own) for w in whole]
+        return np.concatenate(out), np.array([len(x) for x in out])
 
 
 _tokens: dict[str, Tokens] = {}
@@ -210,18 +320,17 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    end = np.uint32(end_id).tobytes()
-
     def write(batches):
         lib = tokens(tokenizer or default_path())
         held, size, before, page, shard = [], 0, 0, 0, 0
 
         def flush():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.concatenate([x for _, x, _ in held])
             words, block_words = encode(ids)
+            doc_ids, lengths = [i for own, _, _ in held for i in own], np.concatenate([n for _, _, n in held])
             return pa.record_batch({
                 "shard": pa.array([shard], pa.int32()), "page": pa.array([page], pa.int32()), "before": pa.array([before], pa.int64()),
-                "doc_ids": pa.array([[i for i, _ in held]], pa.list_(pa.int64())), "lengths": pa.array([[len(x) // 4 for _, x in held]], pa.list_(pa.int32())),
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32())),
                 "n_ids": pa.array([len(ids)], pa.int64()), "block_words": pa.array([block_words], pa.list_(pa.int32())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
             })
 
@@ -229,14 +338,15 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
             if not b.num_rows:
                 continue
             shard = b.column("shard")[0].as_py()
-            ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for rows in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 1, 1 << 20):
-                for i, x in zip(rows, lib.encode([texts[i] for i in rows])):
-                    held.append((ids[i], x + end))
-                    size += len(x) // 4 + 1
-                    if size >= PAGE_IDS:
-                        yield flush()
-                        held, before, page, size = [], before + size, page + 1, 0
+            doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+            for rows in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 1, PAGE_CHARS):
+                ids, n = lib.encode([texts[i] for i in rows])
+                ids = np.insert(ids, np.cumsum(n), end_id).astype(np.uint32)
+                held.append(([doc_ids[i] for i in rows], ids, n + 1))
+                size += len(ids)
+                if size >= PAGE_IDS:
+                    yield flush()
+                    held, before, page, size = [], before + size, page + 1, 0
         if held:
             yield flush()
 
