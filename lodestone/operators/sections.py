@@ -1,0 +1,42 @@
+"""Section paths as window functions, for elements that are a table already."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import trim_all
+from ..sources.structure import STRUCTURAL
+
+
+def is_page_number(text) -> Column:
+    return trim_all(text).rlike("^[0-9]{1,3}$")
+
+
+def is_structural(text) -> Column:
+    return F.upper(trim_all(text)).isin(*sorted(STRUCTURAL))
+
+
+def skip_line(line) -> Column:
+    """Lines that the Markdown scan leaves out: link references, one-line
+    comments and rules."""
+    t = trim_all(line)
+    return (t != "") & (t.rlike(r"^\[[^\]]+\]:[\t\n\f\r ]+[^\t\n\f\r ]+.*$") | t.rlike(r"^<!--.*-->$") | t.rlike(r"^[-*_]{3,}$"))
+
+
+def opens_section(kind, text) -> Column:
+    return (F.col(kind) == "heading") & ~is_page_number(text) & ~is_structural(text)
+
+
+def section_paths(elements: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos") -> DataFrame:
+    """Adds section_path: per level, the last heading that no later heading of
+    a lower level has ended."""
+    so_far = W.partitionBy(doc_col).orderBy(pos_col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = F.when(opens_section("type", "text"), F.least(F.greatest(F.col("level"), F.lit(1)), F.lit(6)))
+    e = elements.withColumn("__level", level)
+    last = [F.max(F.when(F.col("__level") == n, F.struct(pos_col, "text"))).over(so_far) for n in range(1, 7)]
+    ended = [F.max(F.when(F.col("__level") < n, F.col(pos_col))).over(so_far) for n in range(1, 7)]
+    slots = [F.when(x[pos_col] > F.coalesce(y, F.lit(-1)), x["text"]) for x, y in zip(last, ended)]
+    path = F.filter(F.array(*slots), lambda s: s.isNotNull() & (s != ""))
+    return e.withColumn("section_path", F.when(F.size(path) > 0, path)).drop("__level")
