@@ -17,9 +17,20 @@ PACKAGE = __name__.split(".")[0]
 _shipped: set[str] = set()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(size: str) -> int:
+    return int(size.rstrip("bB")) if size.rstrip("bB").isdigit() else 1 << 62
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so Python
-    workers can import it wherever the driver found it."""
+    workers can import it wherever the driver found it. Arrow batches are
+    bounded to 4 MB too: a batch exists several times over, in the executor and
+    in the worker."""
+    if _bytes(spark.conf.get(BATCH_BYTES)) > 4 << 20:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -103,7 +114,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**i mod 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 21), np.uint64)
+        have = np.ones(max(n, 1 << 20), np.uint64)
         filled = 1
         while filled < len(have):
             k = min(filled, len(have) - filled)

@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +135,8 @@ class _Table:
     """Ids of known pieces by the hash of the piece: open addressing in arrays.
     Cleared when it holds MOST pieces."""
 
-    MOST = 1_500_000
-    SLOTS = 1 << 22
+    MOST = 1_000_000
+    SLOTS = 1 << 21
 
     def __init__(self):
         self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
@@ -146,7 +145,7 @@ class _Table:
     def clear(self) -> None:
         self.keys[:] = 0
         self.n, self.used = 0, 0
-        self.at, self.size, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+        self.at, self.size, self.pool = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, np.uint32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
@@ -162,10 +161,10 @@ class _Table:
         """Distinct new hashes and, end to end, the ids of their pieces."""
         first = self.n
         self.n += len(h)
-        while self.n > len(self.at):
-            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, self.pool])
+        if self.n > len(self.at):
+            self.at, self.size = (np.resize(x, self.n * 5 // 4) for x in (self.at, self.size))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, (self.used + len(ids)) * 5 // 4)
         self.at[first : self.n] = self.used + np.cumsum(size) - size
         self.size[first : self.n] = size
         self.pool[self.used : self.used + len(ids)] = ids
@@ -179,7 +178,7 @@ class _Table:
             todo, slot = todo[~won], (slot[~won] + 1) & (self.SLOTS - 1)
 
     def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         at = np.repeat(self.at[entry] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return self.pool[at], size
