@@ -33,6 +33,7 @@ MAX_LANGS = 200
 ROUNDS = 8
 BINS = 24
 LENIENCE = 0.6
+FLOOR_ROWS = 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
@@ -82,11 +83,16 @@ def fit_centroids(v: np.ndarray, length_bin: np.ndarray, k: int = CENTROIDS) ->
                 m = v[own == i].mean(axis=0)
                 c[i] = m / max(np.linalg.norm(m), 1e-12)
     score = (v @ c.T).max(axis=1)
-    floors, last = np.zeros(BINS, np.float32), 0.0
+    # for each length the least cosine of its texts, or of the FLOOR_ROWS
+    # longest of shorter ones too where it has few
+    floors = np.zeros(BINS, np.float32)
     for b in range(BINS):
-        if (length_bin == b).sum() >= 20:
-            last = LENIENCE * float(score[length_bin == b].min())
-        floors[b] = last
+        own = score[length_bin == b]
+        if len(own) < FLOOR_ROWS:
+            upto = np.flatnonzero(length_bin <= b)
+            own = score[upto[np.argsort(-length_bin[upto], kind="stable")[:FLOOR_ROWS]]]
+        if len(own) >= FLOOR_ROWS:
+            floors[b] = LENIENCE * float(own.min())
     return c, floors
 
 

@@ -54,7 +54,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         exponent = _BITS[v]
     else:
         exponent = np.frexp(v.astype(np.float64))[1]
-        exponent -= np.ldexp(0.5, exponent) > v  # rounded up to a power of two
+        exponent -= np.uint64(1) << (np.clip(exponent, 1, 64) - 1).astype(np.uint64) > v  # rounded up to a power of two
     grid = np.full((blocks, BLOCK + 60), 127, np.int8)
     grid[:, :BLOCK] = exponent.reshape(blocks, BLOCK)
     flat, peak = grid.ravel(), {1: grid.ravel()}

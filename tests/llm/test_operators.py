@@ -1,0 +1,519 @@
+"""The training-data operators: against SQL, against brute force, and on the
+cases that tables may hold (nulls, empty and very long texts, ties, repeated
+rows, no rows, further columns)."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from conftest import duck, same_rows
+from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, queries, secrets, substring_dedup, token_output, url_filter
+from lodestone.llm._shared import MAX_FILTER_BITS, Prefix, RepeatFilter, Scratch, _cells, components, repeat_filter, word_hashes
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return duck(small)
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query_equals_sql(spark, small, con, name):
+    assert same_rows(queries.QUERIES[name](spark, small), queries.SQL[name], con)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, node long, label string, size long, text_key long, id long, words string, hits string, spans string, digest string, maybe boolean, bucket string, item string"
+
+
+def docs(spark, *rows):
+    """rows (doc_id, text, lang, source), with columns whose names the
+    operators use themselves."""
+    return spark.createDataFrame([(i, t, lang, s, None, 1, "k", 2, "l", 3, 4, 5, "w", "h", "s", "d", True, "b", "i") for i, t, lang, s in rows], CLASH)
+
+
+def odd(spark):
+    long_ = " ".join(random.Random(1).choice(["alpha", "beta", "gamma", "delta"]) + str(i % 977) for i in range(40_000))
+    return docs(
+        spark, (1, None, None, None), (2, "", "en", "s"), (3, " \n\t", None, "s"), (None, "some words of a text here", "en", None), (None, "some words of a text here", "en", None),
+        (5, "some words of a text here", None, "t"), (6, long_, "en", "s"), (6, long_, "en", "s"), (7, "a", "xx", "t"), (8, "日本語 😀 é", "ja", "t"), (9, "1234 !!", "en", ""),
+    )
+
+
+def none(spark):
+    return docs(spark, *[]).limit(0)
+
+
+# -- shared ------------------------------------------------------------------
+
+
+def test_prefix_hash_depends_on_content_alone():
+    data = b"abc--abc--abd"
+    h = Prefix(data).hash(np.array([0, 5, 10]), np.array([3, 8, 13]))
+    assert h[0] == h[1] != h[2]
+
+
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_word_hashes_split_like_python(texts):
+    h, first = word_hashes(texts)
+    words = [t.lower().split() for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in words]
+    flat = [w for own in words for w in own]
+    assert all((a == b) == (flat[i] == flat[j]) for i, a in enumerate(h) for j, b in enumerate(h))
+
+
+def test_repeat_filter_misses_no_repeat(spark):
+    rng = random.Random(3)
+    keys = [rng.getrandbits(63) for _ in range(5000)]
+    twice = keys[:300]
+    df = spark.createDataFrame([(k,) for k in keys + twice + [None]], "k long").repartition(7)
+    f = repeat_filter(df, "k", 5300)
+    assert f.maybe(np.array(twice)).all()
+    assert f.maybe(np.array(keys[300:])).mean() < 0.05
+    full = RepeatFilter(np.full(8, 255, np.uint8), 63)
+    assert full.maybe(np.array(keys)).all()  # saturated: everything passes
+    assert MAX_FILTER_BITS // 8 == 16 << 20
+    assert repeat_filter(df.limit(0), "k", 0).maybe(np.array([1])).tolist() == [False]
+    assert all((c < 64).all() for c in _cells(np.arange(100, dtype=np.uint64), np.uint64(63)))
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(30)], [(5, i) for i in range(20)], [(1, 2), (3, 4), (4, 1), (9, 9), (7, 8)]])
+def test_components(spark, edges):
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in label:
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    df = spark.createDataFrame(edges, "u long, v long")
+    for one_task in (10**6, 0):
+        assert {tuple(r) for r in components(Scratch(spark), df, one_task).collect()} == set(label.items())
+
+
+# -- 1 -----------------------------------------------------------------------
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame([(i, u, h, "x", 1.0) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, host string, trust double")
+
+
+def test_urls_and_rules(spark):
+    p = pages(
+        spark, (None, None), ("no scheme", None), ("http://A.Example.COM:80/en/x?q", ""), ("https://www.example.com/en/", ""), ("http://example.com/EN/", ""), ("x://net/es/1#f", ""),
+        ("http://a.net", ""), ("http://planet/es/", ""), ("http://h.com?u=http://x/y", ""), ("", ""), ("a://b://c/d", ""), ("http://x.com/\né", ""),
+    )
+    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(p).orderBy("page_id").collect()]
+    assert got[:6] == [("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com:80", "/en/x", None, "allow"), ("www.example.com", "/en/", "www.example.com/en/", "allow"), ("example.com", "/EN/", "com/", "allow"), ("net", "/es/1", "net/es/", "block")]
+    assert got[6:] == [("a.net", "", None, "allow"), ("planet", "/es/", None, "allow"), ("h.com", "", None, "allow"), ("", "", None, "allow"), ("b:", "//c/d", None, "allow"), ("x.com", "/\né", "com/", "allow")]
+    assert url_filter.filter_urls(p.limit(0)).count() == 0
+
+
+def test_propagation_equals_power_iteration(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}" for i in range(12)]
+    edges = sorted({(a, b) for a, b in ((rng.choice(hosts), rng.choice(hosts)) for _ in range(40)) if a != b})
+    seeds = {h: (rng.random() if i < 4 else 0.0, rng.random() if 3 < i < 7 else 0.0) for i, h in enumerate(hosts)}
+    got = url_filter.host_scores(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string"), 7)
+    got = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    for k in (0, 1):
+        links = edges if k == 0 else [(b, a) for a, b in edges]
+        score = {h: 0.15 * seeds[h][k] for h in hosts}
+        for _ in range(7):
+            score = {h: 0.15 * seeds[h][k] + 0.85 * sum(score[a] / sum(x == a for x, _ in links) for a, b in links if b == h) for h in hosts}
+        assert all(abs(score[h] - got.get(h, (0, 0))[k]) < 1e-9 for h in hosts)
+
+
+def test_distrust_goes_back_and_trust_forward(spark):
+    link = lambda *hs: " ".join(f'<a HREF = "http://{h}/x">' for h in hs)
+    p = pages(
+        spark, *[("http://bad.net/es/", "")] * 3, ("http://farm.org/", link("bad.net", "BAD.net", "farm.org")), ("http://good.com/", link("friend.org")),
+        ("http://friend.org/", "<a href='/own'>"), ("http://alone.org/", None), ("http://both.org/", link("good.com", "friend.org", "alone.org")),
+    )
+    got = {r.host: r for r in url_filter.filter_urls(p).collect()}
+    assert got["farm.org"].verdict == "block" and got["farm.org"].distrust == pytest.approx(0.85 * 0.15)
+    assert got["both.org"].verdict == "allow" and got["both.org"].distrust == 0
+    assert got["friend.org"].trust > 0 and got["friend.org"].verdict == "allow"
+    assert got["alone.org"].verdict == "allow"
+    edges = {tuple(r) for r in url_filter.host_edges(p).collect()}
+    assert ("farm.org", "bad.net") in edges and ("farm.org", "farm.org") not in edges and ("friend.org", "own") not in edges
+
+
+# -- 2 -----------------------------------------------------------------------
+
+
+def test_trigram_queries():
+    q = secrets.trigram_query
+    assert q("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
+    assert q("[0-9a-f]{24,}") == q("a.*b") == q("(abc)?x") == q("ab|abcd") == {frozenset()}
+    assert q("(abc|xyz)+") == {frozenset({"abc"}), frozenset({"xyz"})}
+    assert q("api_?key") == {frozenset({"api", "pik", "ike", "key"}), frozenset({"api", "pi_", "i_k", "_ke", "key"})}
+    assert q("x{1,3}abcd") == {frozenset({"abc", "bcd"})}
+
+
+def brute_secrets(text):
+    import re
+
+    out = {}
+    for r in secrets.RULES:
+        out[r.kind] = [(m.start(), m.end()) for m in re.finditer(r.regex, text) if len(m.group(r.group)) >= r.least]
+    return out
+
+
+def test_secret_spans(spark):
+    texts = [
+        'x PassWord = "abcdef" token:abc secret:token:abcdefg', "AKIA" + "A" * 16 + " AKIAAKIA", "é😀 " + "0123456789abcdef" * 2 + "!" + "a" * 23, "api_key='q1w2e3' apikey : zzzzzz", None, "", "TOKEN=token=abcdef",
+        "password=" + "a" * 5 + " password=" + "b" * 6, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "secret  =  'x.y_z-1'", "f" * 100_000,
+    ]
+    df = docs(spark, *[(i % 9, t, None, None) for i, t in enumerate(texts)])
+    got = {}
+    for r in secrets.scan(df).collect():
+        got.setdefault((r.doc_id, r.text), {x.kind: [(s.start, s.end) for s in r[x.kind]] for x in secrets.RULES})
+    for i, t in enumerate(texts):
+        assert got[(i % 9, t or "")] == brute_secrets(t or "")
+    assert secrets.scan(none(spark)).count() == 0
+
+
+def test_rules_that_scan_everything_and_redaction(spark):
+    df = docs(spark, (1, "a token=abcdef b " + "0" * 24, None, None), (2, "clean", None, None))
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [secret] b [secret]", 2: "clean"}
+    only_hex = [r for r in secrets.RULES if r.kind == "hex"]
+    assert secrets.scan(df, only_hex).where("size(hex) > 0").count() == 1
+
+
+# -- 3 -----------------------------------------------------------------------
+
+
+def test_language_accuracy_on_held_out_documents(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    got = language_id.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id for r in got} == {r.doc_id for r in d.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+
+
+def test_language_is_predicted_from_text_alone(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    held = language_id.held_out("doc_id")
+    other = d.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("?"))
+    key = lambda df: {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(df).collect()}
+    assert key(d) == key(other)
+
+
+def test_language_of_odd_rows(spark):
+    rows = language_id.identify(odd(spark), carry=("row", "words")).collect()
+    assert len(rows) == 11 and {r.words for r in rows} == {"w"}
+    assert {r.doc_id: (r.lang_pred, r.score) for r in rows if r.doc_id in (1, 2, 3, 9)} == dict.fromkeys((1, 2, 3, 9), ("und", 0.0))
+    assert all(r.rejected for r in rows if r.lang_pred == "und")
+    assert language_id.identify(none(spark)).count() == 0
+    unlabelled = docs(spark, (1, "text", None, None))
+    assert [(r.lang_pred, r.score, r.rejected) for r in language_id.identify(unlabelled).collect()] == [("und", 0.0, True)]
+
+
+def test_distance_rejects_what_is_far_from_every_language(spark, small):
+    d = spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    far = spark.createDataFrame([(10_000, "Ω ψ ω φ χ " * 200, None), (10_001, "zqx jqz xkq qqz " * 200, None)], d.schema)
+    got = {r.doc_id: r.rejected for r in language_id.identify(d.union(far)).collect()}
+    assert got[10_000] and got[10_001]
+    assert sum(v for k, v in got.items() if k < 10_000) <= 0.02 * len(got)
+
+
+# -- 4 -----------------------------------------------------------------------
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows, threshold=85):
+    sets = [shingles(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both) and comp[i] != comp[j]:
+                a, b = comp[i], comp[j]
+                comp = [a if c == b else c for c in comp]
+    low = {c: min((d for (d, _), x in zip(rows, comp) if x == c and d is not None), default=None) for c in comp}
+    return [(d, len(s), low[c]) for (d, _), s, c in zip(rows, sets, comp)]
+
+
+@pytest.mark.parametrize(("block", "threshold"), [(2048, 85), (7, 85), (2048, 80)])
+def test_near_duplicates_equal_brute_force(spark, block, threshold):
+    """Families of edited copies around the threshold, in blocks small enough
+    to be dealt in pairs too."""
+    rng = random.Random(block + threshold)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([4, 12, 60, 150]))]
+        for _ in range(rng.choice([1, 5, 30])):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 3 % 1009, " ".join(w)))
+    df = docs(spark, *[(d, t, None, None) for d, t in rows])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, threshold, block=block).collect())
+    assert got == sorted(brute_components(rows, threshold))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = minhash_dedup.near_duplicates(odd(spark)).collect()
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows}
+    assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 2, 5, False), (5, 2, 5, True), (7, 1, 7, True)} <= got
+    assert sum(r["first"] for r in rows if r.doc_id == 6) == 1  # of repeated rows one stays
+    assert minhash_dedup.near_duplicates(none(spark)).count() == 0
+
+
+def test_odd_sketch_estimates(spark):
+    rng = np.random.default_rng(2)
+    for j in (0.8, 0.9, 0.97):
+        n = 2000
+        both = int(2 * n * j / (1 + j))
+        pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
+        _, s = minhash_dedup.signatures([a, b])
+        x = int(np.bitwise_count(s[0] ^ s[1]).sum())
+        assert abs(minhash_dedup.estimate(x) - j) < 0.12
+        assert x <= minhash_dedup.most_bits(int(100 * j))
+
+
+# -- 5 -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("group", [2048, 2])
+def test_substrings_equal_brute_force(spark, group):
+    rng = random.Random(group)
+    word = lambda: rng.choice(["ab", "é", "cde", "x" * rng.randrange(1, 9)]) + str(rng.randrange(10**6))
+    shared = [" ".join(word() for _ in range(k)) for k in (12, 20, 25, 40, 90)]
+    texts = [None, "", "a" * 199, "a" * 200, "b" * 201, "b" * 700, "cd" * 150]
+    for _ in range(60):
+        parts = [" ".join(word() for _ in range(rng.randrange(30)))]
+        for _ in range(rng.randrange(3)):
+            parts += [rng.choice(shared)[rng.randrange(10) :], " ".join(word() for _ in range(rng.randrange(20)))]
+        texts.append(" ".join(parts))
+    texts += texts[-3:]
+    df = docs(spark, *[(None if i % 17 == 0 else i % 50, t, None, None) for i, t in enumerate(texts)])
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_repeats(df, group=group).collect())
+    want = sorted((str(None if i % 17 == 0 else i % 50), *w) for i, w in enumerate(substring_dedup.brute_force(texts)))
+    assert got == want
+    assert sum(w[2] for w in want) > 0
+
+
+def test_substrings_of_real_and_odd_rows(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows)).collect()}
+    assert [got[r.doc_id] for r in rows] == substring_dedup.brute_force([r.text for r in rows])
+    assert substring_dedup.remove_repeats(none(spark)).count() == 0
+    assert substring_dedup.remove_repeats(odd(spark)).count() == 11
+
+
+# -- 6 -----------------------------------------------------------------------
+
+LOG = "conv_id long, seq long, turn long, event string, role string, text string, part string, head string"
+
+
+def log(spark, *rows):
+    return spark.createDataFrame([(*r, "p", "h") for r in rows], LOG)
+
+
+def test_event_log_is_folded(spark):
+    events = log(
+        spark, (1, 1, 0, "message", "user", "q"), (1, 2, 1, "message", "assistant", ""), (1, 3, 1, "delta", "assistant", "he"), (1, 4, 1, "delta", "assistant", "y"), (1, 4, 1, "delta", "assistant", "y"),
+        (1, 5, 2, "message", "user", "gone"), (1, 6, 1, "regenerate", "assistant", "new"), (1, 7, 1, "delta", "assistant", "er"), (1, 8, 0, "edit", "user", "Q"), (1, 9, 2, "message", "user", "next"),
+        (None, 1, None, None, None, None), (2, 1, 0, "delta", "user", "a"), (2, 0, 0, "delta", "user", "b"),
+    )
+    got = sorted((str(r.conv_id), str(r.turn), r.role, r.text) for r in chat_format.fold(events).collect())
+    assert got == [("1", "0", "user", "Q"), ("1", "1", "assistant", "newer"), ("1", "2", "user", "next"), ("2", "0", "user", "ba"), ("None", "None", "", "")]
+    assert chat_format.fold(events.limit(0)).count() == 0
+
+
+NASTY = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "<", "|", "\n", "<|nl|>", "", "x<", "$1\\", "é😀"]
+
+
+def test_rendered_conversations_read_back(spark):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", "sy\nstem<|", ""]), "".join(rng.choices(NASTY, k=rng.randrange(5)))) for c in range(40) for t in range(rng.randrange(1, 6))]
+    out = chat_format.read_back(chat_format.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    for r in out:
+        own = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == own
+        assert r.loss_text == "".join(text for role, text in own if role == "assistant")
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>\n") == len(own)
+
+
+# -- 7 -----------------------------------------------------------------------
+
+
+def test_mix_of_odd_rows(spark):
+    rows = mixing.mix(odd(spark), carry=("words", "key")).collect()
+    assert len(rows) == 11 and {(r.words, r["key"]) for r in rows} == {("w", "k")}
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    assert mixing.mix(none(spark)).count() == 0
+    assert [r.taken for r in mixing.mix(docs(spark, (1, "", None, None), (2, None, None, "s"))).collect()] == [0, 0]
+
+
+def brute_seats(targets, house):
+    seats = [0] * len(targets)
+    for _ in range(house):
+        best = max(range(len(targets)), key=lambda i: (targets[i] / (2 * seats[i] + 1), -i))
+        seats[best] += 1
+    return seats
+
+
+def test_seats_equal_highest_quotients(spark):
+    rng = random.Random(7)
+    for n in (1, 2, 5, 40):
+        t = [rng.choice([0.0, 1.0, rng.random() * 10, 10 ** rng.randrange(5)]) for _ in range(n)]
+        t[0] += 1.0
+        t = list(map(float, t))
+        df = spark.createDataFrame(list(enumerate(t)), "rank long, target double")
+        got = {r["rank"]: r.seats for r in mixing.apportion(df, 0.37).collect()}
+        assert [got[i] for i in range(n)] == brute_seats(t, round(sum(t) / 0.37 + 1e-9))
+
+
+def test_targets_and_quotas(spark):
+    s = spark.createDataFrame([("a", 100), ("b", 1000), (None, 50), ("c", 10)], "source string, source_size long")
+    t = {r.source: r.target for r in mixing.targets(s).collect()}
+    assert sum(t.values()) == pytest.approx(1.5 * 1160)
+    assert t["a"] == 200 and t["c"] == 20 and t[None] == 100 and t["b"] == pytest.approx(1420)
+    q = mixing.shard_quotas(mixing.targets(s), 3).collect()
+    assert len(q) == 12
+    sums = [sum(r.blocks for r in q if r.shard == k) for k in range(3)]
+    assert max(sums) - min(sums) <= 1 and sum(sums) == round(1740 / mixing.BLOCK)
+
+
+def test_mix_is_near_its_targets(spark, small):
+    rows = mixing.mix(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.BLOCK
+
+
+# -- 8 -----------------------------------------------------------------------
+
+
+def test_exact_dedup_of_odd_rows(spark):
+    rows = exact_dedup.exact_dedup(odd(spark)).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.text_sha256, []).append(r)
+    assert len(rows) == 11
+    for own in by_text.values():
+        assert {r.group_size for r in own} == {len(own)}
+        assert sum(r.kept for r in own) == 1 and len({r.keep_id for r in own}) == 1
+    assert by_text[hashlib.sha256(b"").hexdigest()][0].keep_id == 2
+    assert exact_dedup.exact_dedup(none(spark)).count() == 0
+    lower = exact_dedup.exact_dedup(docs(spark, (1, "A", None, None), (2, "a", None, None)), normalise=F.lower).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in lower) == [(1, 2, False), (2, 2, True)]
+
+
+# -- 9 -----------------------------------------------------------------------
+
+
+def bench(spark, *rows):
+    return spark.createDataFrame([(i, t, "x") for i, t in rows], "item_id long, text string, token string")
+
+
+def test_decontamination(spark):
+    ten = " ".join(f"t{i}" for i in range(10))
+    b = bench(spark, (1, "x0 " + ten), (2, "Short one!"), (3, ""), (4, None), (None, ten))
+    df = docs(
+        spark, (1, f"Before {ten.upper()}, after", None, None), (2, "a short ONE... short one", None, None), (3, "clean text", None, None), (4, None, None, None), (5, "", None, None),
+        (6, "...", None, None), (7, ten[:-3], None, None), (8, "; x0 " + ten + " " + ten + ";", None, None), (8, "; x0 " + ten + " " + ten + ";", None, None),
+    )
+    got = sorted({(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(df, b).collect()})
+    assert got == [(1, 12, 10, ("1",)), (2, 5, 4, ("2",)), (3, 2, 0, ()), (4, 0, 0, ()), (5, 0, 0, ()), (6, 0, 0, ()), (7, 9, 0, ()), (8, 21, 21, ("1",))]
+    kept = decontaminate.decontaminate(df, b)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7] and kept.columns == df.columns
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(df, b, "spans").collect()}
+    assert cut[1] == "Before " + " " * 9 + ", after" and cut[2] == "a  ...  " and cut[3] == "clean text" and cut[4] is None
+    assert decontaminate.scan(none(spark), b).count() == 0
+    assert decontaminate.scan(df, b.limit(0)).where("n_hit > 0").count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(df, b, "x")
+
+
+def test_decontamination_without_broadcast_is_the_same(spark, small, monkeypatch):
+    d, b = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    show = lambda: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(d, b).collect())
+    first = show()
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    assert show() == first
+
+
+# -- 10 ----------------------------------------------------------------------
+
+
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=3000))
+@settings(max_examples=60, deadline=None)
+def test_simple8b_round_trip(values):
+    v = np.array(values, np.uint64)
+    words, block_words = token_output.encode(v)
+    assert (token_output.decode(words, block_words, len(v)) == v).all()
+    assert block_words.sum() == len(words)
+    for i in range(len(block_words)):
+        own = token_output.decode_block(words, block_words, i)[: len(v) - 1024 * i]
+        assert (own == v[1024 * i : 1024 * (i + 1)]).all()
+
+
+def test_simple8b_packs_by_width():
+    for count, width in token_output.SELECTORS.values():
+        words, _ = token_output.encode(np.full(count * 7, 2**width - 1, np.uint64))
+        assert len(words) <= 7 + -(-(1024 - count * 7) // 60) + 3 or count * 7 > 1024
+
+
+ODD_TEXTS = ["", " ", "a<|endoftext|>b", "  x　y 日本語 ٣", "\x1c\x1d a\x85b\xa0c", "²½ it's 'RE we'll  \n\n x   ", "!'s ''s", "\n", "ʰabc ɐ", "the the  The\tthe\n\n", "é" * 50, "\x00a", "a" * 5000]
+
+
+def test_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_output.default_path())
+    own = token_output.Tokens(token_output.default_path())
+    rng = random.Random(10)
+    some = ["".join(rng.choices(" \n\taBé1²!.-ɏ\x85\xa0\x1c", k=rng.randrange(40))) for _ in range(2000)] + ODD_TEXTS
+    for _ in range(2):  # unknown pieces first, then known ones
+        ids, n = own.encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+    own.table.MOST = 10  # full: forgotten and learned again
+    again, m = own.encode(some)
+    assert (again == ids).all() and (m == n).all()
+    assert own.encode([])[1].tolist() == []
+
+
+def test_token_files(spark, small, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_output.default_path())
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    d = d.union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, None)], d.schema)).repartition(5)
+    token_output.write(d, str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    got = sorted(token_output.read(files).collect(), key=lambda r: r.start)
+    at = 0
+    for r, want in zip(got, sorted(d.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))):
+        ids = [*lib.encode(want.text or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (want.doc_id, at, len(ids), ids)
+        at += len(ids)
+    crc = {r.doc_id: r.ids_crc32 for r in token_output.digest(files).collect()}
+    assert all(crc[r.doc_id] == zlib.crc32(r.ids) for r in got)
+    assert token_output.digest(token_output.pages(none(spark))).count() == 0
+
+
+# -- hot groups ----------------------------------------------------------------
+
+
+def test_one_source_and_one_text_hold_most_rows(spark):
+    base = "some words that all copies share and a few more of them to fill the text " * 3
+    rows = [(i, base if i % 3 else base + str(i), "en", "hot" if i % 10 else "cold") for i in range(3000)]
+    df = docs(spark, *rows).repartition(16)
+    r = exact_dedup.exact_dedup(df).groupBy("keep_id").agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
+    assert (r.keep_id, r.n) == (2999, 2000)
+    near = minhash_dedup.near_duplicates(df, block=64).groupBy("component_id").count().collect()
+    assert [(x.component_id, x["count"]) for x in near] == [(0, 3000)]
+    m = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(x.taken - x.target) <= mixing.BLOCK for x in m)
