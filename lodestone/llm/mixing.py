@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._shared import Scratch
+
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -83,7 +85,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     """One row per document: doc_id, source, size, source_size, target, taken,
     and the carried columns.
 
-    Texts are read once into rows of (id, source, size, order key). The order
+    Texts are read once into a table of (id, source, size, order key); columns
+    to carry are too large for that and are read again. The order
     key's first digits are a bucket: sums per (source, bucket), pre-aggregated,
     give every bucket its offset, and only rows of one bucket are sorted
     together, so a source that holds most rows still spreads over
@@ -92,6 +95,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_HEX)).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    if not carry:
+        rows = Scratch(docs.sparkSession).save(rows)
     sums = rows.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     seats = t.join(apportion(t, block, most), "rank").withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
