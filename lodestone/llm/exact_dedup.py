@@ -43,11 +43,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(prints)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     maybe = tested.where("maybe")
-    groups = maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # among rows with the largest id, the first row stays
-    ties = maybe.join(groups, "digest").withColumn("top", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    first = ties.where("top").groupBy("digest").agg(F.min("row").alias("first"))
-    shuffled = ties.join(first, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    # among rows with the largest id, the first row stays; the groups are a
+    # table, so that the join is between two plain sides and a hot text's rows
+    # can be split
+    best = F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("best")
+    groups = scratch.cut(maybe.groupBy("digest").agg(best, F.count("*").alias("group_size")))
+    shuffled = maybe.join(groups, "digest").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     return alone.union(shuffled)
 
 
