@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
     links = _dealt(full, families, block).mapInArrow(_by_sets(limit, threshold), "u long, v long")
     label = scratch.cut(components(scratch, links))
     r = rows.join(label, "node", "left").select("doc_id", "text_key", "n_shingles", "row", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
-    low = r.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("low"))
+    # written before the join, so that a large component's rows can be split
+    low = scratch.cut(r.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("low")))
     out = r.join(low, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
     first = F.col("label").isNull() | (F.col("row") == F.col("low.row"))
     out = scratch.cut(out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), first.alias("first")))
