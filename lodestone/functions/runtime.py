@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = __name__.split(".")[0]
 _sent: set[str] = set()
@@ -28,3 +28,24 @@ def send_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
     _sent.add(app)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names. Where it names none: one
+    under the warehouse, or on a local master a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.lodestone"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its rows fixed and its lineage ended, in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

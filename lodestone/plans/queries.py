@@ -6,12 +6,13 @@ dense side are the vectors whose id is divisible by 50, against all vectors.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, Config, LLMConfig, SearchConfig, StoreConfig
+from ..functions import runtime
 from ..functions import text as T
 from ..operators import chunking, dense, embedding, fusion, prompt, sections, sparse
 from ..sources import documents as scans
@@ -547,10 +548,8 @@ def chunk_documents(spark, d):
 def _engine(spark: SparkSession):
     from .engine import Engine
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    import uuid
-
-    cfg = Config(store=StoreConfig(path=f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}", vector_dimension=64), search=SearchConfig(dense_score_threshold=0.0))
+    folder = runtime.checkpoint_folder(spark).rstrip("/")
+    cfg = Config(store=StoreConfig(path=f"{folder}/index-{uuid.uuid4().hex}", vector_dimension=64), search=SearchConfig(dense_score_threshold=0.0))
     return Engine(spark, cfg)
 
 
