@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = __name__.split(".")[0]
-_shipped: set[str] = set()
+from ..functions.runtime import checkpoint_folder, send_package
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -25,25 +21,12 @@ def _bytes(size: str) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so Python
-    workers can import it wherever the driver found it. Arrow batches are
-    bounded to 4 MB too: a batch exists several times over, in the executor and
-    in the worker."""
+    """Get workers ready: they can import this package, and Arrow batches are
+    bounded to 4 MB, as one exists several times over in the executor and in
+    the worker."""
     if _bytes(spark.conf.get(BATCH_BYTES)) > 4 << 20:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), f"{PACKAGE}_{app}.zip".replace("-", "_"))
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    send_package(spark)
 
 
 class Scratch:
@@ -57,12 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lodestone-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        folder = checkpoint_folder(spark)
         self.base = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
