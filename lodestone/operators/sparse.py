@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import runtime
 from ..functions.text import tokenize
 
 K1, B = 1.2, 0.75
+MAX_TERMS = 500_000  # query terms that are broadcast at most
 
 
 class SparseIndex(NamedTuple):
@@ -22,17 +24,40 @@ class SparseIndex(NamedTuple):
     corpus_stats: DataFrame
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf, doc_len). With ``terms`` (a column term), only
-    those: the join runs right after the explode, before anything shuffles.
-    A chunk's terms are counted in its own task, so the shuffle moves counts."""
-    t = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(text_col).alias("terms"))
-    p = t.select("chunk_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+#: stands in a chunk's row of counts for the chunk itself; no token is empty
+CHUNK = ""
+
+
+def counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, doc_len), and a row with term CHUNK for every chunk.
+
+    One pass tokenises each text once: an outer explode keeps the optimizer
+    from testing the tokens for emptiness first, which would tokenise again.
+    With ``terms`` (a column term) only those are counted; the join runs right
+    after the explode, before anything shuffles. A chunk's terms are counted in
+    its own task, so the shuffle moves counts.
+    """
+    t = chunks.select(F.col(id_col).alias("chunk_id"), F.concat(tokenize(text_col), F.array(F.lit(CHUNK))).alias("terms"))
+    t = t.select("chunk_id", (F.size("terms") - 1).alias("doc_len"), "terms")
+    p = t.select("chunk_id", "doc_len", F.explode_outer("terms").alias("term"))
     if terms is not None:
-        p = p.join(terms.select("term").distinct(), "term", "left_semi")
+        wanted = runtime.cut(terms.select("term").union(terms.sparkSession.range(1).select(F.lit(CHUNK))).distinct())
+        p = p.join(F.broadcast(wanted) if wanted.count() <= MAX_TERMS else wanted, "term", "left_semi")
     return p.groupBy("term", "chunk_id").agg(F.count("*").cast("double").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def index_of(counted: DataFrame) -> SparseIndex:
+    post = counted.where(F.col("term") != CHUNK)
+    # a chunk that is indexed twice counts twice
+    n = counted.where(F.col("term") == CHUNK).agg(F.coalesce(F.sum("tf").cast("long"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf"), F.lit(0.0)).alias("avg_doc_len"))
+    return SparseIndex(post, term_stats(post), n)
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, doc_len)."""
+    return counts(chunks, id_col, text_col, terms).where(F.col("term") != CHUNK)
+
+
 def corpus_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: number of chunks and their mean token count; 0 without any."""
     n = F.size(tokenize(text_col))
@@ -44,15 +69,14 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
-    post = postings(chunks, id_col, text_col)
-    return SparseIndex(post, term_stats(post), corpus_stats(chunks, text_col))
+    """The index of all terms, from one pass over the texts."""
+    return index_of(runtime.cut(counts(chunks, id_col, text_col)))
 
 
 def build_for(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text", query_text: str = "text") -> SparseIndex:
-    """The part of the index that these queries touch."""
-    terms = queries.select(F.explode(tokenize(query_text)).alias("term"))
-    post = postings(chunks, id_col, text_col, terms)
-    return SparseIndex(post, term_stats(post), corpus_stats(chunks, text_col))
+    """The part of the index that these queries touch, from one pass."""
+    terms = queries.select(F.explode_outer(tokenize(query_text)).alias("term")).where("term IS NOT NULL")
+    return index_of(runtime.cut(counts(chunks, id_col, text_col, terms)))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -76,7 +100,7 @@ def scores(index: SparseIndex, queries: DataFrame, k1: float = K1, b: float = B,
     """(query_id, chunk_id, score) of every chunk that shares a term; a term
     counts as often as the query says it. k1 or b of 0 means the default."""
     k1, b = k1 or K1, b or B
-    q = queries.select("query_id", F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qtf"))
+    q = queries.select("query_id", F.explode_outer(tokenize(query_text)).alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qtf"))
     weighted = q.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row
     weighted = weighted.select("query_id", "term", (F.col("qtf") * idf(F.col("df").cast("double"), F.col("n").cast("double"))).alias("w"), "avg_doc_len")
     hit = index.postings.join(weighted, "term")
