@@ -70,8 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage on all rows that the one before it kept."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = []
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch.drop(*kept)
+        kept = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop(*kept)
+    return out

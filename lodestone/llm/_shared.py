@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.runtime import checkpoint_folder, send_package
 
-
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -296,7 +295,7 @@ def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) ->
     edges = scratch.save(edges.select("u", "v").where("u != v"))
     before = state(edges)
     if before[0] <= one_task:
-        out = scratch.save(edges.coalesce(1).mapInArrow(local, "node long, label long"))
+        out = scratch.cut(edges.coalesce(1).mapInArrow(local, "node long, label long"))
         scratch.drop(edges)
         return out
     while True:
@@ -306,5 +305,7 @@ def components(scratch: Scratch, edges: DataFrame, one_task: int = ONE_TASK) ->
         if now == before:
             break
         before = now
-    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    out = scratch.cut(leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    scratch.drop(edges)
+    return out

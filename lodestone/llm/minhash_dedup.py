@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
 
     buckets = scratch.save(nodes.select("node", "bands", "sketch").mapInArrow(shared, "key long, node long, sketch binary"))
     maybe = _dealt(buckets, buckets, block).mapInArrow(_by_sketch(limit), "u long, v long")
-    families = scratch.save(components(scratch, maybe).withColumnRenamed("label", "key"))
+    families = components(scratch, maybe).withColumnRenamed("label", "key")
     # the full sets of family members, from one text of each class
     wanted = families.join(nodes.select("node", "sketch", "doc_id"), "node")
     ids = wanted.select(null_safe_key("doc_id").alias("id")).distinct()
@@ -273,14 +273,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
     sets = texts.select("text").mapInArrow(members, "node long, members binary").dropDuplicates(["node"])
     full = wanted.select("key", "node", "sketch").join(sets, "node").select("key", "node", "sketch", "members")
     links = _dealt(full, families, block).mapInArrow(_by_sets(limit, threshold), "u long, v long")
-    label = scratch.cut(components(scratch, links))
+    label = components(scratch, links)
     r = rows.join(label, "node", "left").select("doc_id", "text_key", "n_shingles", "row", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
     # written before the join, so that a large component's rows can be split
     low = scratch.cut(r.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("low")))
     out = r.join(low, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
     first = F.col("label").isNull() | (F.col("row") == F.col("low.row"))
     out = scratch.cut(out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), first.alias("first")))
-    scratch.drop(signed, nodes, buckets, families)
+    scratch.drop(signed, nodes, buckets)
     return out
 
 

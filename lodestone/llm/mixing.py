@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_HEX)).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     if not carry:
-        rows = Scratch(docs.sparkSession).save(rows)
+        rows = Scratch(docs.sparkSession).cut(rows)
     sums = rows.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     seats = t.join(apportion(t, block, most), "rank").withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
