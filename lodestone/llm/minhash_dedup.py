@@ -38,7 +38,7 @@ THRESHOLD = 85  # per cent, of intersection to union
 BANDS, ROWS = 38, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-BLOCK = 2048
+BLOCK = 512
 
 _rng = np.random.default_rng(5)
 _MUL = (_rng.integers(0, 2**32, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -174,14 +174,22 @@ def _edges(found: list) -> pa.RecordBatch:
     return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _others(g: pa.Table, at: np.ndarray):
+    """others(a, b): which rows b are compared with row a in this group."""
+    if g.column("b1")[0].as_py() == g.column("b2")[0].as_py():
+        return lambda a, b: np.ones(len(b), bool)
+    side = g.column("own").to_numpy()[at]
+    return lambda a, b: side[b] != side[a]
+
+
 def _by_sketch(limit: int):
     def run(batches):
         found = []
         for g in _groups(batches, ("key", "b1", "b2")):
             node, at = np.unique(g.column("node").to_numpy(), return_index=True)
             if len(node) > 1:
-                s = _sketch_matrix(g.column("sketch"))[at]
-                found += [(node[a], node[b]) for a, b in forest(len(node), lambda a, o, s=s: np.bitwise_count(s[o] ^ s[a]).sum(axis=1, dtype=np.int64) <= limit)]
+                s, others = _sketch_matrix(g.column("sketch"))[at], _others(g, at)
+                found += [(node[a], node[b]) for a, b in forest(len(node), lambda a, b, s=s, others=others: others(a, b) & (np.bitwise_count(s[b] ^ s[a]).sum(axis=1, dtype=np.int64) <= limit))]
             if len(found) > 50_000:
                 yield _edges(found)
                 found = []
@@ -199,9 +207,10 @@ def _by_sets(limit: int, threshold: int):
             s = _sketch_matrix(g.column("sketch"))[at]
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in g.column("members").combine_chunks().take(pa.array(at))]
             size = np.array([len(x) for x in sets])
+            compared = _others(g, at)
 
-            def close(a, others, s=s, sets=sets, size=size):
-                mask = (np.minimum(size[others], size[a]) * 100 >= threshold * np.maximum(size[others], size[a])) & (np.bitwise_count(s[others] ^ s[a]).sum(axis=1, dtype=np.int64) <= limit)
+            def close(a, others, s=s, sets=sets, size=size, compared=compared):
+                mask = compared(a, others) & (np.minimum(size[others], size[a]) * 100 >= threshold * np.maximum(size[others], size[a])) & (np.bitwise_count(s[others] ^ s[a]).sum(axis=1, dtype=np.int64) <= limit)
                 pick = others[mask]
                 same = np.zeros(len(pick), bool)
                 own = sets[a]
@@ -221,13 +230,14 @@ def _by_sets(limit: int, threshold: int):
 
 def _dealt(rows: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """rows (key, node, ...), by key and the pair of blocks (b1, b2) that each
-    row is compared in: (0, 0) for groups up to block members. groups has the
-    keys of rows, once for each."""
+    row is compared in: (0, 0) for groups up to block members. ``own`` is the row's
+    block; in a pair of two blocks only rows of different blocks are compared.
+    groups has the keys of rows, once for each."""
     many = groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
     r = rows.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     r = r.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    r = r.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("own", "other", "parts")
+    r = r.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other", "parts")
     return r.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
 
