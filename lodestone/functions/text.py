@@ -18,8 +18,7 @@ def _col(c) -> Column:
 
 def tokenize(text) -> Column:
     """Lower-cased runs of letters and digits of more than one character."""
-    parts = F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^\p{L}\p{Nd}]+")
-    return F.filter(parts, lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"[\p{L}\p{Nd}]{2,}"), F.lit(0))
 
 
 def trim_all(text) -> Column:

@@ -101,9 +101,12 @@ def scores(index: SparseIndex, queries: DataFrame, k1: float = K1, b: float = B,
     counts as often as the query says it. k1 or b of 0 means the default."""
     k1, b = k1 or K1, b or B
     q = queries.select("query_id", F.explode_outer(tokenize(query_text)).alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qtf"))
-    weighted = q.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row
+    q = runtime.cut(q)
+    # postings stream past the query terms; many queries are joined by sorting
+    side = F.broadcast if q.count() <= MAX_TERMS else lambda df: df.hint("merge")
+    weighted = index.term_stats.join(side(q), "term").crossJoin(F.broadcast(index.corpus_stats))  # one row
     weighted = weighted.select("query_id", "term", (F.col("qtf") * idf(F.col("df").cast("double"), F.col("n").cast("double"))).alias("w"), "avg_doc_len")
-    hit = index.postings.join(weighted, "term")
+    hit = index.postings.join(side(weighted), "term")
     return hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * tf_norm(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"), k1, b)).alias("score"))
 
 
