@@ -177,6 +177,18 @@ def test_secret_spans(spark):
     assert secrets.scan(none(spark)).count() == 0
 
 
+@given(st.text(alphabet="0af gAKIZ-", max_size=120))
+@settings(max_examples=500, deadline=None)
+def test_bounds_in_the_pattern_change_nothing(text):
+    """The hex rule's pattern holds its least length; the rule as stated takes
+    greedy runs and drops short ones."""
+    import re
+
+    least = 5  # short, so that random texts reach it
+    stated = [m.span() for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= least]
+    assert [m.span() for m in re.finditer(f"[0-9a-f]{{{least},}}", text)] == stated
+
+
 def test_rules_that_scan_everything_and_redaction(spark):
     df = docs(spark, (1, "a token=abcdef b " + "0" * 24, None, None), (2, "clean", None, None))
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [secret] b [secret]", 2: "clean"}
