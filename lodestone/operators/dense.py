@@ -11,6 +11,8 @@ from .sparse import top_k
 
 #: queries whose vectors are broadcast together; more are searched in blocks
 BLOCK = 4096
+#: scores that a task holds at once
+CELLS = 4_000_000
 
 
 def _rows(column) -> np.ndarray:
@@ -29,9 +31,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
     """vectors (chunk_id, vector), queries (query_id, vector) → (query_id,
     chunk_id, score, rnk).
 
-    Every task scores its rows against the broadcast query matrix, one matrix
-    product per Arrow batch, and passes on at most k rows per query; the exact
-    top-k of those is the result. Scores below the threshold are dropped first,
+    Every task scores its rows against the broadcast query matrix, a matrix
+    product for some rows at a time, and passes on a row only where it is among
+    the task's best k for a query so far; the exact top-k of those is the
+    result. Scores below the threshold are dropped first,
     and ``where`` filters the vectors before anything is scored. Queries beyond
     BLOCK take further passes over the vectors. k <= 0 keeps everything.
     """
@@ -47,17 +50,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
         def run(batches):
             ids, m = shared.value
             id_array = pa.array(ids)
+            step = max(64, CELLS // max(1, len(ids)))
+            best = np.full((len(ids), k), -np.inf) if 0 < k * len(ids) <= CELLS else None
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                s = m @ _unit(_rows(b.column("vector"))).T
-                keep = np.ones(s.shape, bool) if threshold is None else s >= threshold
-                if 0 < k < s.shape[1]:
-                    # rows equal to the k-th after rounding stay, for ties by id
-                    least = np.partition(s, -k, axis=1)[:, [-k]]
-                    keep &= s >= least - 1e-8
-                i, j = np.nonzero(keep)
-                yield pa.record_batch({"query_id": id_array.take(pa.array(i)), "chunk_id": b.column("chunk_id").take(pa.array(j)), "score": pa.array(s[i, j])})
+                for lo in range(0, b.num_rows if len(ids) else 0, step):
+                    some = b.slice(lo, step)
+                    s = m @ _unit(_rows(some.column("vector"))).T
+                    keep = np.ones(s.shape, bool) if threshold is None else s >= threshold
+                    if best is not None:
+                        # the k best so far; rows that equal the last of them
+                        # after rounding stay, for ties by id
+                        pool = np.concatenate([best, np.where(keep, s, -np.inf)], axis=1)
+                        best = np.partition(pool, -k, axis=1)[:, -k:]
+                        keep &= s >= best.min(axis=1, keepdims=True) - 1e-8
+                    i, j = np.nonzero(keep)
+                    yield pa.record_batch({"query_id": id_array.take(pa.array(i)), "chunk_id": some.column("chunk_id").take(pa.array(j)), "score": pa.array(s[i, j])})
 
         return v.mapInArrow(run, schema)
 
