@@ -6,8 +6,8 @@ k-means; a text gets the language of the centroid with the highest cosine. A
 text that is further from it than texts of its length ever were in training is
 rejected.
 
-Document frequencies and language counts cover all training rows. Centroids are
-fitted on about ``FIT_ROWS`` training rows per language (all of them where
+Document frequencies, language counts and the floors of rejection cover all
+training rows. Centroids are fitted on about ``FIT_ROWS`` training rows per language (all of them where
 there are fewer), chosen by a hash of id and text; FIT_ROWS and MAX_LANGS bound what is
 sent to one task and broadcast (MAX_LANGS * CENTROIDS * DIM floats).
 
@@ -66,9 +66,9 @@ def _bin(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(c.sum(axis=1) + 1), BINS - 1).astype(int)
 
 
-def fit_centroids(v: np.ndarray, length_bin: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
-    """(k' x DIM centroids, BINS floors of the cosine). Starts from the vector
-    nearest the mean and then those furthest from the ones chosen."""
+def fit_centroids(v: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
+    """k' x DIM centroids. Starts from the vector nearest the mean and then
+    those furthest from the ones chosen."""
     mean = v.mean(axis=0)
     chosen = [int(np.argmax(v @ mean))]
     best = v @ v[chosen[0]]
@@ -82,18 +82,27 @@ def fit_centroids(v: np.ndarray, length_bin: np.ndarray, k: int = CENTROIDS) ->
             if (own == i).any():
                 m = v[own == i].mean(axis=0)
                 c[i] = m / max(np.linalg.norm(m), 1e-12)
-    score = (v @ c.T).max(axis=1)
-    # for each length the least cosine of its texts, or of the FLOOR_ROWS
-    # longest of shorter ones too where it has few
+    return c
+
+
+def floors_of(seen: dict[int, tuple[int, float, list[float]]]) -> np.ndarray:
+    """BINS floors of the cosine from the training texts nearest to a language,
+    by length bin: their number, their least cosine and the cosines of
+    FLOOR_ROWS of them.
+
+    For each length the least cosine of its texts, or of the FLOOR_ROWS longest
+    of shorter ones too where it has few."""
     floors = np.zeros(BINS, np.float32)
     for b in range(BINS):
-        own = score[length_bin == b]
-        if len(own) < FLOOR_ROWS:
-            upto = np.flatnonzero(length_bin <= b)
-            own = score[upto[np.argsort(-length_bin[upto], kind="stable")[:FLOOR_ROWS]]]
-        if len(own) >= FLOOR_ROWS:
-            floors[b] = LENIENCE * float(own.min())
-    return c, floors
+        n, low = 0, np.inf
+        for x in range(b, -1, -1):
+            if x in seen and n < FLOOR_ROWS:
+                own, least, some = seen[x]
+                low = min(low, least if x == b or own <= FLOOR_ROWS - n else min(some[: FLOOR_ROWS - n]))
+                n += own
+        if n >= FLOOR_ROWS:
+            floors[b] = LENIENCE * low
+    return floors
 
 
 def _batches(b: pa.RecordBatch):
@@ -107,16 +116,19 @@ class Model:
     def __init__(self, langs: list[str], centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray, idf: np.ndarray):
         self.langs, self.centroids, self.owner, self.floors, self.idf = langs, centroids, owner, floors, idf
 
+    def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, cosine) of the centroid nearest to counts."""
+        cos = vectors(c, self.idf) @ self.centroids.T
+        best = np.argmax(cos, axis=1)
+        return self.owner[best], np.clip(cos[np.arange(len(c)), best], 0, 1).astype(float)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
         c = counts(texts)
         letters = np.array([has_letter(t) for t in texts], bool)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cos = vectors(c, self.idf) @ self.centroids.T
-        best = np.argmax(cos, axis=1)
-        score = np.clip(cos[np.arange(len(texts)), best], 0, 1).astype(float)
-        lang = self.owner[best]
+        lang, score = self.nearest(c)
         rejected = ~letters | (score < self.floors[lang, _bin(c)])
         return [self.langs[i] if ok else "und" for i, ok in zip(lang, letters)], np.where(letters, score, 0.0), rejected
 
@@ -155,23 +167,47 @@ def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
             for first, texts in _batches(b):
                 c = counts(texts)
                 own = b.slice(first, len(texts))
-                yield pa.record_batch({"lang": own.column("lang"), "pick": own.column("pick"), "length_bin": pa.array(_bin(c)), "vector": pa.array([x.tobytes() for x in vectors(c, idf).astype(np.float32)], pa.binary())})
+                yield pa.record_batch({"lang": own.column("lang"), "pick": own.column("pick"), "vector": pa.array([x.tobytes() for x in vectors(c, idf).astype(np.float32)], pa.binary())})
 
     def centre(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["pick", "vector"])
         v = np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(-1, DIM)
-        c, floors = fit_centroids(v, pdf["length_bin"].to_numpy())
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tobytes() for x in c.astype(np.float32)], "floors": floors.tobytes()})
+        c = fit_centroids(v)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tobytes() for x in c.astype(np.float32)]})
 
-    fitted = chosen.select("text", "lang", "pick").mapInArrow(weigh, "lang string, pick double, length_bin long, vector binary").groupBy("lang").applyInPandas(centre, "lang string, centroid binary, floors binary")
+    fitted = chosen.select("text", "lang", "pick").mapInArrow(weigh, "lang string, pick double, vector binary").groupBy("lang").applyInPandas(centre, "lang string, centroid binary")
     rows = sorted(fitted.collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
     place = {k: i for i, k in enumerate(langs)}
-    floors = np.zeros((len(langs), BINS), np.float32)
-    for r in rows:
-        floors[place[r["lang"]]] = np.frombuffer(r["floors"], np.float32)
-    return Model(langs, np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIM), np.array([place[r["lang"]] for r in rows], int), floors, idf)
+    model = Model(langs, np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIM), np.array([place[r["lang"]] for r in rows], int), np.zeros((len(langs), BINS), np.float32), idf)
+    sent = train.sparkSession.sparkContext.broadcast(model)
+
+    def nearest(batches):
+        held = {}
+        for b in batches:
+            for first, texts in _batches(b):
+                c = counts(texts)
+                lang, cos = sent.value.nearest(c)
+                pick, key = b.column("pick").slice(first, len(texts)).to_numpy(), lang * BINS + _bin(c)
+                for k in np.unique(key).tolist():
+                    mine = key == k
+                    n, least, some = held.get(k, (0, np.inf, []))
+                    some = sorted([*some, *zip(pick[mine].tolist(), cos[mine].tolist())])[:FLOOR_ROWS]
+                    held[k] = n + int(mine.sum()), min(least, float(cos[mine].min())), some
+        yield pa.record_batch({
+            "lang": pa.array([k // BINS for k in held], pa.int64()), "length_bin": pa.array([k % BINS for k in held], pa.int64()), "n": pa.array([x[0] for x in held.values()], pa.int64()), "least": pa.array([x[1] for x in held.values()], pa.float64()),
+            "some": pa.array([[{"pick": p, "cosine": q} for p, q in x[2]] for x in held.values()], pa.list_(pa.struct([("pick", pa.float64()), ("cosine", pa.float64())]))),
+        })
+
+    some = F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, FLOOR_ROWS)["cosine"]
+    least = train.select("text", "pick").mapInArrow(nearest, "lang long, length_bin long, n long, least double, some array<struct<pick: double, cosine: double>>")
+    seen = {}
+    for r in least.groupBy("lang", "length_bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), some.alias("some")).collect():
+        seen.setdefault(r["lang"], {})[r["length_bin"]] = (r["n"], r["least"], r["some"])
+    for lang, own in seen.items():
+        model.floors[lang] = floors_of(own)
+    return model
 
 
 def held_out(id_col: str) -> Column:

@@ -233,6 +233,27 @@ def test_distance_rejects_what_is_far_from_every_language(spark, small):
     assert sum(v for k, v in got.items() if k < 10_000) <= 0.02 * len(got)
 
 
+def test_floors_of_rejection_cover_all_training_rows(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice(["alpha ", "beta ", "gamma ", "delta "]) for _ in range(40 if i < 280 else 200)), "en" if i % 2 else "xx", i / 300) for i in range(300)]
+    rows += [("zqxj jqzk xkqq " * 14 + "alpha " * 3, "en", 0.999)]  # furthest from its language, and not in the sample
+    train = spark.createDataFrame(rows, "text string, lang string, pick double").repartition(5)
+    model = language_id.fit(train, Scratch(spark), fit_rows=30)
+    c = language_id.counts([t for t, _, _ in rows])
+    length, v = language_id._bin(c), language_id.vectors(c, model.idf)
+    cos = v @ model.centroids.T
+    score, near = cos.max(axis=1), model.owner[cos.argmax(axis=1)]
+    for i in range(len(model.langs)):
+        own = sorted((r[2], k) for k, r in enumerate(rows) if near[k] == i)
+        for b in range(language_id.BINS):
+            ks = [k for _, k in own if length[k] == b]
+            if len(ks) < language_id.FLOOR_ROWS:
+                ks = sorted((k for _, k in own if length[k] <= b), key=lambda k: -length[k])[: language_id.FLOOR_ROWS]
+            want = language_id.LENIENCE * min(score[ks]) if len(ks) >= language_id.FLOOR_ROWS else 0
+            assert model.floors[i][b] == pytest.approx(want, abs=1e-5)
+    assert not model.predict([t for t, _, _ in rows])[2].any()
+
+
 # -- 4 -----------------------------------------------------------------------
 
 
