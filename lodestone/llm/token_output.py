@@ -133,7 +133,9 @@ SIMPLE = "ɏ"  # up to here, letter and number classes are spelled out below
 
 class _Table:
     """Ids of known pieces by the hash of the piece: open addressing in arrays.
-    Cleared when it holds MOST pieces."""
+    Cleared when it holds MOST pieces or half of its slots are taken; at most
+    ``step`` pieces are added before it is looked at again, so a quarter of the
+    slots is always free."""
 
     MOST = 1_000_000
     SLOTS = 1 << 21
@@ -142,6 +144,13 @@ class _Table:
         self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
         self.clear()
 
+    @property
+    def step(self) -> int:
+        return self.SLOTS // 4
+
+    def full(self) -> bool:
+        return self.n > min(self.MOST, self.SLOTS // 2)
+
     def clear(self) -> None:
         self.keys[:] = 0
         self.n, self.used = 0, 0
@@ -260,6 +269,18 @@ class Tokens:
         s = np.flatnonzero(start)
         return data, c, s, np.diff(np.searchsorted(s, np.concatenate([[0], np.cumsum(size)])))
 
+    def _known(self, data: str, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a run of pieces, end to end; number of ids of each)."""
+        if self.table.full():
+            self.table.clear()
+        entry = self.table.find(h)
+        gaps = np.flatnonzero(entry < 0)
+        if len(gaps):
+            new, at = np.unique(h[gaps], return_index=True)
+            self._learn([data[a:b] for a, b in zip(s[gaps[at]].tolist(), e[gaps[at]].tolist())], new)
+            entry[gaps] = self.table.find(h[gaps])
+        return self.table.ids(entry)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end to end; number of ids of each)."""
         whole = np.fromiter(map(self._whole, texts), bool, len(texts))
@@ -272,15 +293,9 @@ class Tokens:
             np.cumsum(self.code[c] * powers(_BASE, len(c)), out=sums[1:])
             h = mix((sums[e] - sums[s]) * powers(pow(_BASE, -1, 2**64), len(c) + 1)[s] + (e - s).astype(np.uint64))
             h[h == 0] = 1
-            if self.table.n > self.table.MOST:
-                self.table.clear()
-            entry = self.table.find(h)
-            gaps = np.flatnonzero(entry < 0)
-            if len(gaps):
-                new, at = np.unique(h[gaps], return_index=True)
-                self._learn([data[a:b] for a, b in zip(s[gaps[at]].tolist(), e[gaps[at]].tolist())], new)
-                entry[gaps] = self.table.find(h[gaps])
-            flat, size = self.table.ids(entry)
+            # a text may have more distinct pieces than the table has room for
+            runs = [self._known(data, h[i : i + self.table.step], s[i : i + self.table.step], e[i : i + self.table.step]) for i in range(0, len(h), self.table.step)]
+            flat, size = (np.concatenate(x) for x in zip(*runs)) if runs else (flat, np.zeros(0, np.int64))
             upto = np.concatenate([[0], np.cumsum(size)])
             cut = np.concatenate([[0], np.cumsum(pieces)])
             count = upto[cut[1:]] - upto[cut[:-1]]

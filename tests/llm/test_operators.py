@@ -518,6 +518,27 @@ def test_tokens_are_those_of_the_library():
     assert own.encode([])[1].tolist() == []
 
 
+def test_a_text_with_more_pieces_than_the_table_has_slots(monkeypatch):
+    import signal
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output._Table, "SLOTS", 64)
+    lib = Tokenizer.from_file(token_output.default_path())
+    own = token_output.Tokens(token_output.default_path())
+    some = ["a few words", " ".join(f"{i}:{i * 7919 % 1000:x}" for i in range(400)), "", "a few words"]
+    before = signal.signal(signal.SIGALRM, lambda *_: pytest.fail("encode does not end"))
+    signal.alarm(30)
+    try:
+        for _ in range(2):
+            ids, n = own.encode(some)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+            assert own.table.n <= 48
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_token_files(spark, small, tmp_path):
     from tokenizers import Tokenizer
 
