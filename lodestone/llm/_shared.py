@@ -72,8 +72,9 @@ def release(spark: SparkSession) -> None:
 
 
 def null_safe_key(c: str):
-    """A long that stands for a nullable id; equal ids give equal keys."""
-    return F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    """A long that stands for a nullable id of any type; equal ids give equal
+    keys. Two ids may share a key, so it is joined on beside a text's hash."""
+    return F.when(F.col(c).isNull(), F.lit(-(2**63))).otherwise(F.xxhash64(c))
 
 
 # --------------------------------------------------------------------------
@@ -83,7 +84,8 @@ _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 LOWER_CODE = BYTE_CODE.copy()
 LOWER_CODE[65:91] = BYTE_CODE[97:123]
-_BASE = 0x9E3779B97F4A7C15
+SECOND_CODE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -119,12 +121,14 @@ class Prefix:
     content alone.
     """
 
-    def __init__(self, data: bytes, lower: bool = False):
+    def __init__(self, data, lower: bool = False, second: bool = False):
+        """``second`` gives hashes independent of the first ones."""
         self.raw = np.frombuffer(data, np.uint8)
+        base, code = (_SECOND_BASE, SECOND_CODE) if second else (_BASE, LOWER_CODE if lower else BYTE_CODE)
         n = len(self.raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((LOWER_CODE if lower else BYTE_CODE)[self.raw] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(pow(_BASE, -1, 2**64), n + 1)
+        np.cumsum(code[self.raw] * powers(base, n), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 2**64), n + 1)
 
     def hash(self, start, end) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -164,51 +168,38 @@ def chunks(values: list, size, most: int):
 # --------------------------------------------------------------------------
 # which keys occur more than once: a two-pass Bloom filter
 
-SLICE = 1 << 16
+SLICE = 1 << 16  # cells of a slice; a key's cells lie in one slice
 MAX_FILTER_BITS = 1 << 27  # 16 MB: the bound of what is broadcast
+LEAST_BITS = 8  # cells a key at least
 
 
-class RepeatFilter:
-    """Bitmap of the cells that keys hit at least twice.
-
-    Each key has two cells. A key that occurs twice always hits both of its
-    cells twice, so ``maybe`` never misses one; with a full bitmap everything
-    passes, which costs time but no results.
-    """
-
-    def __init__(self, bits: np.ndarray, mask: int):
-        self.bits, self.mask = bits, np.uint64(mask)
-
-    def maybe(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for cell in _cells(keys.view(np.uint64), self.mask):
-            out &= (self.bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 != 0
-        return out
+def _bits_for(rows: int) -> int:
+    """Cells for so many keys: 16 to 32 of them a key, fewer only where that
+    keeps the filter within the broadcast bound; never below LEAST_BITS."""
+    want = max(SLICE, 1 << (16 * max(rows, 1) - 1).bit_length())
+    return MAX_FILTER_BITS if MAX_FILTER_BITS < want and LEAST_BITS * rows <= MAX_FILTER_BITS else want
 
 
-def _cells(keys: np.ndarray, mask) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys)
-    return h & mask, (h >> np.uint64(33)) * np.uint64(0x9E3779B1) & mask
+def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both places of a key inside its slice."""
+    k = keys.view(np.uint64)
+    return (k >> np.uint64(32)) & np.uint64(SLICE - 1), k >> np.uint64(48)
 
 
-def repeat_filter(df: DataFrame, key: str, rows: int) -> RepeatFilter:
-    """First pass. Tasks send packed cell offsets by slice of the bitmap, at
-    most twice each; merged slices of 8 KB reach the driver, which holds
-    MAX_FILTER_BITS / 8 bytes at most."""
-    n_bits = 1 << max(16, min(MAX_FILTER_BITS.bit_length() - 1, (32 * max(rows, 1)).bit_length()))
-    mask = np.uint64(n_bits - 1)
-
-    def pack(batches):
-        def flush(held):
-            keys = np.concatenate(held)
-            u, n = np.unique(keys.view(np.uint64), return_counts=True)
-            u = np.concatenate([u, u[n > 1]])
-            cells = np.sort(np.concatenate(_cells(u, mask)))
-            ids, at = np.unique(cells >> np.uint64(16), return_index=True)
-            low = (cells & np.uint64(SLICE - 1)).astype("<u2")
-            at = [*at, len(low)]
-            return pa.record_batch({"slice": pa.array(ids.astype(np.int64)), "cells": pa.array([low[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+def _pack(mask: int):
+    """Keys of a task → packed cells by slice, at most twice each."""
+    def flush(held):
+        u, n = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+        u = np.concatenate([u, u[n > 1]])
+        place = u & np.uint64(mask)
+        order = np.argsort(place, kind="stable")
+        u, place = u[order], place[order]
+        ids, at = np.unique(place, return_index=True)
+        both = np.stack(_cells(u), axis=1).astype("<u2")
+        at = [*at, len(u)]
+        return pa.record_batch({"slice": pa.array(ids.astype(np.int64)), "cells": pa.array([both[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
+    def run(batches):
         held, n = [], 0
         for b in batches:
             if b.num_rows:
@@ -220,21 +211,110 @@ def repeat_filter(df: DataFrame, key: str, rows: int) -> RepeatFilter:
         if held:
             yield flush(held)
 
-    def merge(pdf):
-        import pandas as pd
+    return run
+
+
+def _merge_slices(batches):
+    """Packed cells, sorted by slice → the cells that were hit twice. One slice
+    of two-bit counts is held at a time, whatever the number of tasks."""
+    now, seen = None, None
+
+    def done():
+        return pa.record_batch({"slice": pa.array([now], pa.int64()), "bits": pa.array([np.packbits(seen == 2, bitorder="little").tobytes()], pa.binary())})
 
-        seen = np.zeros(SLICE, np.uint8)
-        for cells in pdf["cells"]:
-            own = np.bincount(np.frombuffer(cells, "<u2"), minlength=SLICE)
+    for b in batches:
+        for s, cells in zip(b.column("slice").to_pylist(), b.column("cells")):
+            if s != now:
+                if now is not None:
+                    yield done()
+                now, seen = s, np.zeros(SLICE, np.uint8)
+            own = np.bincount(np.frombuffer(cells.as_buffer(), "<u2"), minlength=SLICE)
             seen = np.minimum(seen + np.minimum(own, 2), 2).astype(np.uint8)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "bits": [np.packbits(seen == 2, bitorder="little").tobytes()]})
-
-    packed = df.select(F.col(key).alias("k")).where("k is not null").mapInArrow(pack, "slice long, cells binary")
-    merged = packed.groupBy("slice").applyInPandas(merge, "slice long, bits binary")
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        bits[row["slice"] * (SLICE // 8) : (row["slice"] + 1) * (SLICE // 8)] = np.frombuffer(row["bits"], np.uint8)
-    return RepeatFilter(bits, int(mask))
+    if now is not None:
+        yield done()
+
+
+class Repeats:
+    """The keys of a column that may occur more than once.
+
+    A key (a long with well mixed bits) has two cells in one slice of a bitmap
+    that is sized by the number of keys. The first pass folds saturating counts
+    per task and merges them slice by slice. A key that occurs twice hits both
+    of its cells twice, so none is missed; of the keys that occur once some 2 to
+    5 per cent pass. A bitmap of up to MAX_FILTER_BITS is broadcast; a larger
+    one stays a table, and the rows that are tested go to its slices.
+    """
+
+    def __init__(self, scratch: Scratch, df: DataFrame, key: str, rows: int):
+        n = _bits_for(rows)
+        self.scratch, self.mask, self.table, self.sent = scratch, n // SLICE - 1, None, None
+        packed = df.select(F.col(key).alias("k")).where("k is not null").mapInArrow(_pack(self.mask), "slice long, cells binary")
+        slices = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge_slices, "slice long, bits binary")
+        if n > MAX_FILTER_BITS:
+            self.table = scratch.save(slices)
+            return
+        bits = np.zeros(n // 8, np.uint8)
+        for row in slices.toLocalIterator():
+            bits[row["slice"] * (SLICE // 8) : (row["slice"] + 1) * (SLICE // 8)] = np.frombuffer(row["bits"], np.uint8)
+        self.sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def tester(self):
+        """A function of an array of keys, for workers; only for a bitmap that
+        is broadcast."""
+        sent, mask = self.sent, np.uint64(self.mask)
+
+        def maybe(keys: np.ndarray) -> np.ndarray:
+            k = keys.view(np.uint64)
+            return _hit(sent.value, k, (k & mask) * np.uint64(SLICE))
+
+        return maybe
+
+    def flag(self, df: DataFrame, key: str) -> DataFrame:
+        """df with a boolean column ``maybe``."""
+        kinds = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+        schema = ", ".join([*[f"`{n}` {t}" for n, t in kinds], "maybe boolean"])
+        if self.sent is not None:
+            maybe = self.tester()
+
+            def test(batches):
+                for b in batches:
+                    yield pa.record_batch({**{n: b.column(n) for n, _ in kinds}, "maybe": pa.array(maybe(b.column(key).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)))})
+
+            return df.mapInArrow(test, schema)
+        rows = df.select(F.col(key).bitwiseAND(F.lit(self.mask)).alias("__slice"), F.lit(None).cast("binary").alias("__bits"), *df.columns)
+        slices = self.table.select(F.col("slice").alias("__slice"), F.col("bits").alias("__bits"), *[F.lit(None).cast(t).alias(n) for n, t in kinds])
+
+        def at_slices(batches):
+            at, bits = None, np.zeros(SLICE // 8, np.uint8)
+            for b in batches:
+                place, own = b.column("__slice").to_numpy(), b.column("__bits")
+                cut = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+                for lo, hi in zip(cut, cut[1:]):
+                    if own[lo].is_valid:
+                        at, bits, lo = place[lo], np.frombuffer(own[lo].as_buffer(), np.uint8).copy(), lo + 1
+                    part = b.slice(lo, hi - lo)
+                    if part.num_rows:
+                        k = part.column(key).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+                        hit = _hit(bits, k, np.uint64(0)) if place[lo] == at else np.zeros(len(k), bool)
+                        yield pa.record_batch({**{n: part.column(n) for n, _ in kinds}, "maybe": pa.array(hit)})
+
+        both = slices.unionByName(rows).repartition("__slice").sortWithinPartitions("__slice", F.col("__bits").isNull())
+        return both.mapInArrow(at_slices, schema)
+
+    def close(self) -> None:
+        """For when every frame that ``flag`` made has been written."""
+        if self.sent is not None:
+            self.sent.destroy()
+        else:
+            self.scratch.drop(self.table)
+
+
+def _hit(bits: np.ndarray, k: np.ndarray, base) -> np.ndarray:
+    out = np.ones(len(k), bool)
+    for offset in _cells(k):
+        cell = base + offset
+        out &= (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 != 0
+    return out
 
 
 # --------------------------------------------------------------------------

@@ -8,38 +8,32 @@ result; other columns are not read and may have any names.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, repeat_filter, ship
+from ._shared import Repeats, Scratch, ship
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``normalise`` maps the text column to the column that is compared (default:
-    the text itself). Texts are read once, into a table of (id, digest); both
-    passes and the grouping read that table. Pass one folds digests into a
-    bitmap of at most 16 MB (a documented bound: past it more rows shuffle,
-    none is lost); pass two sends only rows whose cells were hit twice to the
-    exact grouping.
+    the text itself). Texts are read once, into a table of (id, row, digest);
+    both passes and the grouping read that table. Pass one folds digests into a
+    bitmap sized by the rows; pass two sends only rows whose cells were hit
+    twice to the exact grouping. Up to 16 million rows the bitmap is broadcast;
+    beyond that digests (not texts) go to the slices of the bitmap.
     """
     spark = docs.sparkSession
     ship(spark)
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
     scratch = Scratch(spark)
-    prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")))
-    keyed = prints.withColumn("key", F.xxhash64("digest")).withColumn("row", F.monotonically_increasing_id())
-    seen = spark.sparkContext.broadcast(repeat_filter(keyed, "key", prints.count()))
-
-    def test(batches):
-        for b in batches:
-            yield pa.record_batch({**{n: b.column(n) for n in ("doc_id", "row", "digest")}, "maybe": pa.array(seen.value.maybe(b.column("key").to_numpy(zero_copy_only=False)))})
-
-    kind = prints.schema["doc_id"].dataType.simpleString()
-    tested = scratch.cut(keyed.mapInArrow(test, f"doc_id {kind}, row long, digest binary, maybe boolean"))
+    prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    keyed = prints.withColumn("key", F.xxhash64("digest"))
+    repeats = Repeats(scratch, keyed, "key", prints.count())
+    tested = scratch.cut(repeats.flag(keyed, "key"))
+    repeats.close()
     scratch.drop(prints)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     maybe = tested.where("maybe")

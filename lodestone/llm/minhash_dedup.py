@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each text becomes its set of distinct 5-word shingles; equal sets are one
-   class. A class has ``BANDS`` band keys of ``ROWS`` MinHash values each and an
+1. Each text becomes its set of distinct 5-word shingles; sets that agree in
+   128 bits of hash are one class, named by its first row. A class has ``BANDS`` band keys of ``ROWS`` MinHash values each and an
    odd sketch: the samples (i, value i) folded into a bitmap by parity, so that
    the population count of the XOR of two sketches tells how many samples
    differ.
@@ -11,8 +11,13 @@
 3. Inside a family links are confirmed on full shingle sets, again keeping a
    spanning forest of the confirmed links. Components of those are the result.
 
-Buckets and families above ``BLOCK`` members are dealt as pairs of blocks, so
-no task holds more than two blocks of one group and no comparison is left out.
+A bucket or family above ``BLOCK`` members is compared in two rounds. First its
+blocks, each with one member that all blocks share (the hub), which joins nearly
+all of a family of edited copies at a cost in proportion to it. Then only the
+members outside the largest component, against every block, pairs of one
+component left out. No task holds more than two blocks of one group and no
+comparison that could join two components is left out. L members outside the
+largest component of N cost L * N / BLOCK rows.
 
 A pair at similarity 0.8 misses every band with probability 2.8e-7 (2.1e-10 at
 0.85) and a pair at the threshold is refused by its sketches with probability
@@ -21,7 +26,8 @@ below 1e-6; above it both fall fast.
 Defined results: A-Z are lower-cased; a text with fewer than 5 words is one
 shingle; null or blank text has an empty set and is linked with nothing; rows
 that share an id are separate nodes with that id; the component of a null id
-without other ids is null; an empty table gives an empty result.
+without other ids is null; ids may be of any type that sorts; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, chunks, components, mix, null_safe_key, powers, repeat_filter, ship, word_hashes
+from ._shared import Repeats, Scratch, chunks, components, mix, null_safe_key, powers, ship, word_hashes
 
 WORDS = 5
 THRESHOLD = 85  # per cent, of intersection to union
 BANDS, ROWS = 38, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-BLOCK = 512
+BLOCK = 256
+MAX_BROADCAST = 100_000  # groups above BLOCK whose sizes are broadcast at most
 
 _rng = np.random.default_rng(5)
 _MUL = (_rng.integers(0, 2**32, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -81,9 +88,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def node_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit fingerprint of each set (0 for the empty one)."""
-    return np.array([0 if not len(s) else int(mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets], np.uint64).view(np.int64)
+def set_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two longs (0 for the empty one)."""
+    def one(s, salt):
+        return int(mix(mix(s ^ np.uint64(salt)).sum(keepdims=True) + np.uint64(len(s)))[0]) if len(s) else 0
+
+    return tuple(np.array([one(s, salt) for s in sets], np.uint64).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +128,11 @@ def _sign(batches):
             full = [s for s in sets if len(s)]
             keys, sketches = signatures(full) if full else (np.zeros((0, BANDS)), np.zeros((0, 1)))
             keys, sketches = iter(keys.tolist()), iter(sketches)
+            print_, check = set_prints(sets)
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"),
-                "text_key": part.column("text_key"),
+                **{n: part.column(n) for n in ("doc_id", "text_key", "row")},
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array(node_ids(sets)),
+                "print": pa.array(print_), "check": pa.array(check),
                 "bands": pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 "sketch": pa.array([next(sketches).tobytes() if len(s) else b"" for s in sets], pa.binary()),
             })
@@ -175,11 +185,13 @@ def _edges(found: list) -> pa.RecordBatch:
 
 
 def _others(g: pa.Table, at: np.ndarray):
-    """others(a, b): which rows b are compared with row a in this group."""
+    """others(a, b): which rows b are compared with row a in this group: those
+    of another component and, in a pair of blocks, of the other block."""
+    comp = g.column("comp").to_numpy()[at]
     if g.column("b1")[0].as_py() == g.column("b2")[0].as_py():
-        return lambda a, b: np.ones(len(b), bool)
+        return lambda a, b: comp[b] != comp[a]
     side = g.column("own").to_numpy()[at]
-    return lambda a, b: side[b] != side[a]
+    return lambda a, b: (side[b] != side[a]) & (comp[b] != comp[a])
 
 
 def _by_sketch(limit: int):
@@ -228,17 +240,42 @@ def _by_sets(limit: int, threshold: int):
     return run
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """rows (key, node, ...), by key and the pair of blocks (b1, b2) that each
-    row is compared in: (0, 0) for groups up to block members. ``own`` is the row's
-    block; in a pair of two blocks only rows of different blocks are compared.
-    groups has the keys of rows, once for each."""
-    many = groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
-    r = rows.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    r = r.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    r = r.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other", "parts")
-    return r.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+def _connect(scratch: Scratch, rows: DataFrame, groups: DataFrame, block: int, compare) -> DataFrame:
+    """(node, label): components of the links that ``compare`` finds between the
+    rows (key, node, ...) of each key. groups has the keys of rows, once for
+    each; rows are read again only where a group is larger than a block."""
+    many = scratch.cut(groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("node").alias("hub")).where("parts > 1"))
+    large = many.count()
+
+    def found(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(compare, "u long, v long")
+
+    if not large:
+        return components(scratch, found(rows.withColumns({"b1": F.lit(0), "b2": F.lit(0), "own": F.lit(0), "comp": F.col("node")})))
+    side = F.broadcast if large <= MAX_BROADCAST else lambda df: df
+    rows = scratch.save(rows)
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    r = rows.join(side(many), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    r = r.withColumn("b1", F.explode(F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    first = components(scratch, found(r.withColumns({"b2": F.col("b1"), "own": F.col("b1"), "comp": F.col("node")}).drop("parts", "hub")))
+
+    # the second round, for groups that fell into several components
+    r = groups.join(side(many), "key").join(first, "node", "left").select("key", "node", "parts", F.coalesce("label", "node").alias("comp"))
+    sizes = r.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
+    rest = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"), F.first("parts").alias("parts")).where("most.n < all")
+    rest = scratch.cut(rest.select("key", F.col("most.comp").alias("main"), "parts", F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("few")))
+    if rest.isEmpty():
+        scratch.drop(rows)
+        return first
+    r = rows.join(side(rest), "key").join(first, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    inside = F.col("comp") == F.col("main")
+    # blocks 0 .. few - 1 are of members outside the largest component, those from few on of its own
+    r = r.withColumn("own", F.when(inside, F.col("few") + part).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("parts")) - 1)))
+    r = r.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("label", "main", "parts", "few", "other")
+    out = components(scratch, found(r).union(first.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    scratch.drop(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id", text_col="text", block: int = BLOCK) -> DataFrame:
@@ -249,28 +286,35 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
     ship(spark)
     scratch = Scratch(spark)
     limit = most_bits(threshold)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    signed = scratch.save(d.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, sketch binary"))
-    rows = signed.withColumn("row", F.monotonically_increasing_id())
-    nodes = scratch.save(signed.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("doc_id").alias("doc_id")))
-    keys = nodes.select(F.explode("bands").alias("key"))
-    seen = spark.sparkContext.broadcast(repeat_filter(keys, "key", nodes.count() * BANDS))
-
-    def shared(batches):
-        for b in batches:
-            bands = b.column("bands")
-            if b.num_rows:
-                flat = bands.flatten().to_numpy(zero_copy_only=False)
-                keep = seen.value.maybe(flat)
-                owner = np.repeat(np.arange(b.num_rows), np.diff(bands.offsets.to_numpy()))[keep]
-                if len(owner):
-                    yield pa.record_batch({"key": pa.array(flat[keep]), "node": b.column("node").take(pa.array(owner)), "sketch": b.column("sketch").take(pa.array(owner))})
-
-    buckets = scratch.save(nodes.select("node", "bands", "sketch").mapInArrow(shared, "key long, node long, sketch binary"))
-    maybe = _dealt(buckets, buckets, block).mapInArrow(_by_sketch(limit), "u long, v long")
-    families = components(scratch, maybe).withColumnRenamed("label", "key")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    signed = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign, f"doc_id {kind}, text_key long, row long, n_shingles long, print long, check long, bands array<long>, sketch binary")
+    signed = scratch.save(signed)
+    classes = signed.where("n_shingles > 0").groupBy("print", "check").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("bands", "sketch", "doc_id")])
+    classes = scratch.save(classes)
+    keys = classes.select(F.explode("bands").alias("key"))
+    repeats = Repeats(scratch, keys, "key", classes.count() * BANDS)
+    if repeats.sent is not None:
+        maybe = repeats.tester()
+
+        def shared(batches):
+            for b in batches:
+                bands = b.column("bands")
+                if b.num_rows:
+                    flat = bands.flatten().to_numpy(zero_copy_only=False)
+                    keep = maybe(flat)
+                    owner = np.repeat(np.arange(b.num_rows), np.diff(bands.offsets.to_numpy()))[keep]
+                    if len(owner):
+                        yield pa.record_batch({"key": pa.array(flat[keep]), "node": b.column("node").take(pa.array(owner)), "sketch": b.column("sketch").take(pa.array(owner))})
+
+        buckets = classes.select("node", "bands", "sketch").mapInArrow(shared, "key long, node long, sketch binary")
+    else:
+        buckets = repeats.flag(classes.select(F.explode("bands").alias("key"), "node", "sketch"), "key").where("maybe").drop("maybe")
+    buckets = scratch.save(buckets)
+    repeats.close()
+    families = _connect(scratch, buckets, buckets, block, _by_sketch(limit)).withColumnRenamed("label", "key")
     # the full sets of family members, from one text of each class
-    wanted = families.join(nodes.select("node", "sketch", "doc_id"), "node")
+    wanted = families.join(classes.select("node", "print", "check", "sketch", "doc_id"), "node")
     ids = wanted.select(null_safe_key("doc_id").alias("id")).distinct()
     texts = d.withColumn("id", null_safe_key("doc_id")).join(ids, "id", "left_semi")
 
@@ -278,19 +322,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
         for b in batches:
             for rows in chunks(list(range(b.num_rows)), lambda i, t=b.column("text"): len(t[i].as_py() or "") + 1, 1 << 20):
                 sets = shingle_sets(b.column("text").slice(rows[0], len(rows)).to_pylist())
-                yield pa.record_batch({"node": pa.array(node_ids(sets)), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    sets = texts.select("text").mapInArrow(members, "node long, members binary").dropDuplicates(["node"])
-    full = wanted.select("key", "node", "sketch").join(sets, "node").select("key", "node", "sketch", "members")
-    links = _dealt(full, families, block).mapInArrow(_by_sets(limit, threshold), "u long, v long")
-    label = components(scratch, links)
-    r = rows.join(label, "node", "left").select("doc_id", "text_key", "n_shingles", "row", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+                print_, check = set_prints(sets)
+                yield pa.record_batch({"print": pa.array(print_), "check": pa.array(check), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    sets = texts.select("text").mapInArrow(members, "print long, check long, members binary").dropDuplicates(["print", "check"])
+    full = wanted.select("key", "node", "sketch", "print", "check").join(sets, ["print", "check"]).select("key", "node", "sketch", "members")
+    label = _connect(scratch, full, families, block, _by_sets(limit, threshold))
+    label = classes.select("print", "check", "node").join(label, "node", "left").select("print", "check", F.coalesce("label", "node").alias("label"))
+    r = signed.join(label, ["print", "check"], "left").select("doc_id", "text_key", "n_shingles", "row", "label")
     # written before the join, so that a large component's rows can be split
     low = scratch.cut(r.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("low")))
     out = r.join(low, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
     first = F.col("label").isNull() | (F.col("row") == F.col("low.row"))
     out = scratch.cut(out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), first.alias("first")))
-    scratch.drop(signed, nodes, buckets)
+    scratch.drop(signed, classes, buckets)
     return out
 
 

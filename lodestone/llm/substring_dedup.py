@@ -1,28 +1,35 @@
 """Suffix-array dedup by depth-limited radix sort.
 
 Suffixes are ordered through ``DEPTH`` bytes only, by most-significant-digit
-passes over groups; a group of equal suffixes is a repeated window, and every
-byte that a repeated window covers is removed.
-
-A window is filed under the digit that its own content picks: of its 50-byte
-strings, the one with the least hash (the first of several). Equal windows pick
-the same digit at the same place, and one digit serves a run of windows, about
-one in 76 positions, so the passes handle runs:
-
-1. first digit: digits that occur once in the corpus end their runs' windows as
-   unique (two-pass Bloom filter, at most 16 MB broadcast);
-2. second digit: the content that all windows of the run span. Runs with equal
-   content are equal window by window; a digit with one content is settled;
-3. last digit, for digits with several contents and a content that occurs once:
-   all windows of each content by 200-byte hash. Digits with up to ``GROUP``
-   contents are compared in one task, larger ones by shuffling window hashes.
-
-Windows of a text never reach into another. Equality is that of 64-bit hashes
-under an equal 64-bit digit.
+passes over digits of ``DIGIT`` real bytes; a group that is still equal after
+the last digit is a repeated window, and every byte that a repeated window
+covers is removed. A suffix that is alone in its group after a pass is dropped.
+
+A text of n bytes has n suffixes, and moving one 8-byte digit of each would
+already cost 8 bytes of shuffle a byte of text. So suffixes are dealt to buckets
+before they are sorted, and equal suffixes always meet in one bucket:
+
+1. Deal. A window's bucket is the ``DIGIT``-byte string of least hash inside its
+   ``DEPTH`` bytes (the first of several). Equal windows hold the same strings,
+   so they go to the same bucket; one bucket serves a run of neighbouring
+   windows, about 76 of them, and runs are what moves.
+2. Prune. A bucket with one run in the corpus holds no repeat (two-pass Bloom
+   filter). Runs whose whole content is equal are equal window by window; they
+   are settled, and one of them stands for all.
+3. Sort. The runs left in open buckets go to their bucket with their bytes, and
+   their suffixes are sorted: every DIGIT-byte string is ranked in byte order,
+   then pass k refines the groups by the rank of bytes k * DIGIT onwards. Small
+   buckets share a task's sort; a bucket of more than ``GROUP`` different
+   contents is sorted by the whole cluster, a shuffle a pass on (group, digit).
+
+Windows of a text never reach into another. The sort compares bytes. Contents of
+runs, and digits in buckets sorted by the cluster, are compared as 128-bit
+hashes.
 
 Defined results: null text is empty; texts shorter than DEPTH bytes keep every
 byte; repeated rows are occurrences of their own, so both lose the windows that
-they share; an empty table gives an empty result; ids may repeat or be null.
+they share; an empty table gives an empty result; ids may repeat, be null or be
+of any type.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Prefix, Scratch, chunks, mix, null_safe_key, repeat_filter, ship
+from ._shared import Prefix, Repeats, Scratch, chunks, mix, null_safe_key, ship
 
 DEPTH = 200
 DIGIT = 50
@@ -78,9 +85,48 @@ class _Runs:
         self.lo, self.hi = s[new], s[np.concatenate([new[1:] - 1, [len(s) - 1]])]
         self.at, self.doc, self.key = at[new], doc[new], h[at[new]]
 
-    def content(self, depth: int) -> np.ndarray:
-        shape = (self.hi - self.lo).astype(np.uint64) * np.uint64(1 << 20) + (self.at - self.lo).astype(np.uint64)
-        return mix(self.p.hash(self.lo, self.hi + depth) + mix(shape))
+    def content(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of what the windows of each run span."""
+        shape = mix((self.hi - self.lo).astype(np.uint64) * np.uint64(1 << 20) + (self.at - self.lo).astype(np.uint64))
+        again = Prefix(self.p.raw, second=True)
+        return tuple(mix(p.hash(self.lo, self.hi + depth) + shape).view(np.int64) for p in (self.p, again))
+
+
+def rank_strings(raw: np.ndarray, width: int) -> np.ndarray:
+    """For each place of a buffer, the rank in byte order of the ``width`` bytes
+    that begin there (zeros stand behind the end). Strings of 8 bytes are ranked
+    as numbers; ranks of two halves, which may overlap, give those of twice the
+    width."""
+    padded = np.concatenate([raw, np.zeros(width + 8, np.uint8)])
+    size = min(8, width)
+    key = np.zeros(len(raw), np.uint64)
+    for i in range(size):
+        key = (key << np.uint64(8)) | padded[i : i + len(raw)]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    while size < width:
+        step = min(size, width - size)
+        second = np.concatenate([rank[step:] + np.uint64(1), np.zeros(step, np.uint64)])[: len(raw)]
+        rank = np.unique((rank << np.uint64(32)) | second, return_inverse=True)[1].astype(np.uint64)
+        size += step
+    return rank
+
+
+def radix_groups(raw: np.ndarray, starts: np.ndarray, depth: int, digit: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(at, group): the suffixes starts[at] that equal another one through
+    ``depth`` bytes, with group numbers that follow byte order. A suffix of
+    weight above 1 stands for several and is its own repeat. No suffix may reach
+    past the buffer's end."""
+    weight = np.ones(len(starts), np.int64) if weight is None else weight
+    live, group = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
+    rank = rank_strings(raw, digit)
+    for at in range(0, depth, digit):
+        # a last digit that is cut short begins earlier: the bytes that it
+        # shares with the one before are equal within a group
+        at = min(at, depth - digit)
+        _, group = np.unique((group << np.uint64(32)) | rank[starts[live] + at], return_inverse=True)
+        more = np.bincount(group, weights=weight[live])[group] > 1.5
+        live, group = live[more], group[more].astype(np.uint64)
+    return live, group
 
 
 def _bytes(text) -> bytes:
@@ -100,8 +146,9 @@ def _find_runs(depth: int, digit: int):
                 r = _Runs(texts, depth, digit)
                 if len(r.lo):
                     own = pa.array(r.doc + first)
+                    content, check = r.content(depth)
                     base = r.starts[r.doc]
-                    yield pa.record_batch({"digit": pa.array(r.key.view(np.int64)), "content": pa.array(r.content(depth).view(np.int64)), "id": b.column("id").take(own), "text_key": b.column("text_key").take(own), "lo": pa.array((r.lo - base).astype(np.int32)), "hi": pa.array((r.hi - base).astype(np.int32)), "back": pa.array((r.at - r.lo).astype(np.int32))})
+                    yield pa.record_batch({"digit": pa.array(r.key.view(np.int64)), "content": pa.array(content), "check": pa.array(check), "id": b.column("id").take(own), "text_key": b.column("text_key").take(own), "lo": pa.array((r.lo - base).astype(np.int32)), "hi": pa.array((r.hi - base).astype(np.int32))})
 
     return run
 
@@ -121,19 +168,16 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    runs = scratch.save(docs.mapInArrow(_find_runs(depth, digit), "digit long, content long, id long, text_key long, lo int, hi int, back int"))
-    seen = spark.sparkContext.broadcast(repeat_filter(runs, "digit", runs.count()))
-
-    def test(batches):
-        for b in batches:
-            yield b.filter(pa.array(seen.value.maybe(b.column("digit").to_numpy())))
-
-    maybe = scratch.save(runs.mapInArrow(test, runs.schema))
+    run = "digit long, content long, check long, id long, text_key long, lo int, hi int"
+    runs = scratch.save(docs.mapInArrow(_find_runs(depth, digit), run))
+    repeats = Repeats(scratch, runs, "digit", runs.count())
+    maybe = scratch.save(repeats.flag(runs, "digit").where("maybe").drop("maybe"))
+    repeats.close()
     scratch.drop(runs)
-    place = ("id", "text_key", "lo", "hi", "back")
-    contents = scratch.save(maybe.groupBy("digit", "content").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]))
-    equal = contents.where("n > 1").select("digit", "content")
-    settled = maybe.join(equal, ["digit", "content"], "left_semi").select("id", "text_key", "lo", (F.col("hi") + depth).alias("hi"))
+    key, place = ["digit", "content", "check"], ("id", "text_key", "lo", "hi")
+    contents = scratch.save(maybe.groupBy(*key).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]))
+    equal = contents.where("n > 1").select(*key)
+    settled = maybe.join(equal, key, "left_semi").select("id", "text_key", "lo", (F.col("hi") + depth).alias("hi"))
     digits = contents.groupBy("digit").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 AND least = 1")
     open_ = contents.join(digits.select("digit", "contents"), "digit")
 
@@ -151,43 +195,58 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
     parts = docs.join(by_doc, ["id", "text_key"]).select("id", "text_key", "text", "open").mapInArrow(cut_out, _PART_SQL)
     parts = scratch.save(parts)
 
-    def hashes(b: pa.Table):
-        """Window hashes under their digits, each window's row and place."""
+    def suffixes(b: pa.Table):
+        """The bytes of some runs end to end, and of each suffix its place, its
+        run and its place in the run."""
         data = b.column("data").to_pylist()
-        p = Prefix(b"".join(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
         size = np.fromiter(map(len, data), np.int64, len(data))
         many = size - depth + 1
         owner = np.repeat(np.arange(len(data)), many)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        s = place + (np.cumsum(size) - size)[owner]
-        digit = mix(b.column("digit").to_numpy().view(np.uint64))[owner]
-        return mix(p.hash(s, s + depth) + digit), owner, place
+        return raw, place + (np.cumsum(size) - size)[owner], owner, place
 
-    def compare(batches):
+    def sort_here(batches):
         for g in _whole_digits(batches):
-            h, owner, place = hashes(g)
-            n = g.column("n").to_numpy()[owner]
-            _, inv = np.unique(h, return_inverse=True)
-            hit = (np.bincount(inv, weights=n)[inv] > 1.5) & (n == 1)
-            own, s = owner[hit], (place + g.column("lo").to_numpy()[owner])[hit]
-            if not len(s):
+            raw, starts, owner, place = suffixes(g)
+            n = g.column("n").to_numpy()
+            at, _ = radix_groups(raw, starts, depth, digit, n[owner])
+            at = np.sort(at[n[owner[at]] == 1])
+            if not len(at):
                 continue
+            own, s = owner[at], (place + g.column("lo").to_numpy()[owner])[at]
             new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)]))
             last = np.concatenate([new[1:] - 1, [len(s) - 1]])
-            at = own[new]
-            yield pa.record_batch({"id": pa.array(g.column("id").to_numpy()[at]), "text_key": pa.array(g.column("text_key").to_numpy()[at]), "lo": pa.array(s[new].astype(np.int32)), "hi": pa.array((s[last] + depth).astype(np.int32))})
+            own = own[new]
+            yield pa.record_batch({"id": pa.array(g.column("id").to_numpy()[own]), "text_key": pa.array(g.column("text_key").to_numpy()[own]), "lo": pa.array(s[new].astype(np.int32)), "hi": pa.array((s[last] + depth).astype(np.int32))})
 
-    def expand(batches):
+    ends = [min(k, depth - digit) for k in range(0, depth, digit)]
+
+    def spell(batches):
+        """Suffixes of large buckets as rows: their digits."""
         for b in batches:
             for rows in chunks(list(range(b.num_rows)), lambda i, d=b.column("data"): len(d[i].as_py()), PIECE):
                 own = pa.Table.from_batches([b.slice(rows[0], len(rows))])
-                h, owner, place = hashes(own)
-                yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "n": pa.array(own.column("n").to_numpy()[owner]), "id": pa.array(own.column("id").to_numpy()[owner]), "text_key": pa.array(own.column("text_key").to_numpy()[owner]), "lo": pa.array((own.column("lo").to_numpy()[owner] + place).astype(np.int32))})
-
-    found = parts.where(F.col("contents") <= group).repartition("digit").sortWithinPartitions("digit").mapInArrow(compare, "id long, text_key long, lo int, hi int")
-    flat = parts.where(F.col("contents") > group).mapInArrow(expand, "hash long, n long, id long, text_key long, lo int")
-    again = flat.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
-    spread = flat.where("n = 1").join(again, "hash", "left_semi").select("id", "text_key", "lo", (F.col("lo") + depth).alias("hi"))
+                raw, starts, owner, place = suffixes(own)
+                p = [Prefix(raw), Prefix(raw, second=True)]
+                spelt = np.stack([x.hash(starts + k, starts + k + digit) for k in ends for x in p], axis=1).view(np.int64)
+                yield pa.record_batch({
+                    **{c: pa.array(own.column(c).to_numpy()[owner]) for c in ("digit", "n", "id", "text_key")},
+                    "lo": pa.array((own.column("lo").to_numpy()[owner] + place).astype(np.int32)), "spelt": pa.FixedSizeListArray.from_arrays(pa.array(spelt.ravel()), 2 * len(ends)).cast(pa.list_(pa.int64())),
+                })
+
+    found = parts.where(F.col("contents") <= group).repartition("digit").sortWithinPartitions("digit").mapInArrow(sort_here, "id long, text_key long, lo int, hi int")
+    live = parts.where(F.col("contents") > group)
+    spread = live.where("false").select("id", "text_key", "lo", F.col("lo").alias("hi"))
+    if not live.isEmpty():
+        live = scratch.save(live.mapInArrow(spell, "digit long, n long, id long, text_key long, lo int, spelt array<long>"))
+        for k in range(len(ends)):
+            group_ = F.slice("spelt", 1, 2 * (k + 1)).alias("group")
+            again = live.groupBy("digit", group_).agg(F.sum("n").alias("total")).where("total > 1").select("digit", "group")
+            kept = scratch.save(live.withColumn("group", group_).join(again, ["digit", "group"], "left_semi").drop("group"))
+            scratch.drop(live)
+            live = kept
+        spread = live.where("n = 1").select("id", "text_key", "lo", (F.col("lo") + depth).alias("hi"))
 
     def unite(batches):
         for b in batches:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from conftest import duck, same_rows
 from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, queries, secrets, substring_dedup, token_output, url_filter
-from lodestone.llm._shared import MAX_FILTER_BITS, Prefix, RepeatFilter, Scratch, _cells, components, repeat_filter, word_hashes
+from lodestone.llm import _shared
+from lodestone.llm._shared import Prefix, Repeats, Scratch, components, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -67,19 +68,42 @@ def test_word_hashes_split_like_python(texts):
     assert all((a == b) == (flat[i] == flat[j]) for i, a in enumerate(h) for j, b in enumerate(h))
 
 
-def test_repeat_filter_misses_no_repeat(spark):
+@pytest.mark.parametrize("bound", [1 << 27, 1 << 16])
+def test_repeat_filter_misses_no_repeat(spark, monkeypatch, bound):
+    """Broadcast, and far above the bound of what is broadcast."""
+    monkeypatch.setattr(_shared, "MAX_FILTER_BITS", bound)
     rng = random.Random(3)
-    keys = [rng.getrandbits(63) for _ in range(5000)]
-    twice = keys[:300]
-    df = spark.createDataFrame([(k,) for k in keys + twice + [None]], "k long").repartition(7)
-    f = repeat_filter(df, "k", 5300)
-    assert f.maybe(np.array(twice)).all()
-    assert f.maybe(np.array(keys[300:])).mean() < 0.05
-    full = RepeatFilter(np.full(8, 255, np.uint8), 63)
-    assert full.maybe(np.array(keys)).all()  # saturated: everything passes
-    assert MAX_FILTER_BITS // 8 == 16 << 20
-    assert repeat_filter(df.limit(0), "k", 0).maybe(np.array([1])).tolist() == [False]
-    assert all((c < 64).all() for c in _cells(np.arange(100, dtype=np.uint64), np.uint64(63)))
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(60_000)]
+    twice = keys[:3000]
+    df = spark.createDataFrame([(k, i, "x" if i % 2 else None) for i, k in enumerate(keys + twice)], "key long, row long, other string").repartition(7)
+    r = Repeats(Scratch(spark), df, "key", df.count())
+    assert (r.sent is None) == (bound == 1 << 16)
+    got = r.flag(df, "key").collect()
+    assert sorted(x.row for x in got) == list(range(63_000)) and all(x.other == ("x" if x.row % 2 else None) for x in got)
+    assert all(x.maybe for x in got if x["key"] in set(twice))
+    alone = [x.maybe for x in got if x["key"] not in set(twice)]
+    assert sum(alone) < 0.05 * len(alone)  # the stated share of false positives
+    r.close()
+    none_ = Repeats(Scratch(spark), df.limit(0), "key", 0)
+    assert not any(x.maybe for x in none_.flag(df, "key").collect())
+
+
+def test_repeat_filter_is_sized_by_its_keys():
+    assert _shared._bits_for(0) == _shared.SLICE
+    for n in (10**4, 10**6, 10**7, 10**9, 10**12):
+        bits = _shared._bits_for(n)
+        assert bits >= 16 * n or bits == _shared.MAX_FILTER_BITS >= 8 * n
+        assert bits <= max(32 * n, _shared.SLICE)
+
+
+def test_slices_are_merged_one_at_a_time():
+    import pyarrow as pa
+
+    cells = np.array([5, 9], "<u2").tobytes()
+    feed = ({"slice": pa.array([s]), "cells": pa.array([c], pa.binary())} for s, c in [(1, cells), (1, cells[:2]), (4, cells), (4, cells * 300)])
+    out = list(_shared._merge_slices(pa.record_batch(x) for x in feed))
+    bits = {b.column("slice")[0].as_py(): np.unpackbits(np.frombuffer(b.column("bits")[0].as_py(), np.uint8), bitorder="little") for b in out}
+    assert {s: np.flatnonzero(x).tolist() for s, x in bits.items()} == {1: [5], 4: [5, 9]}
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(30)], [(5, i) for i in range(20)], [(1, 2), (3, 4), (4, 1), (9, 9), (7, 8)]])
@@ -336,6 +360,26 @@ def test_substrings_equal_brute_force(spark, group):
     assert sum(w[2] for w in want) > 0
 
 
+@given(st.binary(min_size=1, max_size=120), st.integers(1, 30), st.integers(1, 30))
+@settings(max_examples=300, deadline=None)
+def test_radix_passes_order_suffixes(data, depth, digit):
+    """Groups follow the byte order of the prefixes; what is left repeats."""
+    data = bytes(c % 3 for c in data)  # few byte values, many repeats
+    depth, digit = max(depth, digit), min(depth, digit)
+    starts = np.arange(max(0, len(data) - depth + 1))
+    at, group = substring_dedup.radix_groups(np.frombuffer(data, np.uint8), starts, depth, digit)
+    strings = [data[i : i + depth] for i in starts]
+    assert sorted(at.tolist()) == [i for i in starts if strings.count(strings[i]) > 1]
+    by_group = [strings[i] for i in at[np.argsort(group, kind="stable")]]
+    assert by_group == sorted(by_group)
+    assert all((group[x] == group[y]) == (strings[at[x]] == strings[at[y]]) for x in range(len(at)) for y in range(x))
+
+
+def test_suffixes_of_weight_are_their_own_repeats():
+    at, _ = substring_dedup.radix_groups(np.frombuffer(b"abcdabxx", np.uint8), np.array([0, 2, 4, 6]), 2, 1, np.array([1, 2, 1, 1]))
+    assert sorted(at.tolist()) == [0, 1, 2]
+
+
 def test_substrings_of_real_and_odd_rows(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows)).collect()}
