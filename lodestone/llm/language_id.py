@@ -8,8 +8,11 @@ rejected.
 
 Document frequencies, language counts and the floors of rejection cover all
 training rows. Centroids are fitted on about ``FIT_ROWS`` training rows per language (all of them where
-there are fewer), chosen by a hash of id and text; FIT_ROWS and MAX_LANGS bound what is
-sent to one task and broadcast (MAX_LANGS * CENTROIDS * DIM floats).
+there are fewer), chosen by a hash of id and text; FIT_ROWS bounds what one
+language sends to one task. Languages are scored in blocks of ``LANGS``, which
+bounds what is collected and broadcast (LANGS * CENTROIDS * DIM floats, 13 MB);
+beyond one block the texts are read once a block. Of every language the driver
+holds its name, its count and its BINS floors.
 
 Defined results: null text or text without letters is ``und`` with score 0;
 rows without a language are not learned from; without any training row every
@@ -29,7 +32,7 @@ from ._shared import Scratch, chunks, ship
 DIM = 4096
 CENTROIDS = 4
 FIT_ROWS = 1000
-MAX_LANGS = 200
+LANGS = 200  # languages whose centroids are broadcast together
 ROUNDS = 8
 BINS = 24
 LENIENCE = 0.6
@@ -112,30 +115,66 @@ def _batches(b: pa.RecordBatch):
         yield rows[0], texts[rows[0] : rows[-1] + 1]
 
 
-class Model:
-    def __init__(self, langs: list[str], centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray, idf: np.ndarray):
-        self.langs, self.centroids, self.owner, self.floors, self.idf = langs, centroids, owner, floors, idf
+class Block:
+    """The centroids of some languages, the numbers of their languages, and the
+    weights of cells."""
+
+    def __init__(self, centroids: np.ndarray, owner: np.ndarray, idf: np.ndarray):
+        self.centroids, self.owner, self.idf = centroids, owner, idf
 
     def nearest(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language, cosine) of the centroid nearest to counts."""
+        """(language, cosine) of the centroid nearest to counts; the first of
+        several."""
+        if not len(self.owner):
+            return np.zeros(len(c), np.int64), np.zeros(len(c))
         cos = vectors(c, self.idf) @ self.centroids.T
         best = np.argmax(cos, axis=1)
-        return self.owner[best], np.clip(cos[np.arange(len(c)), best], 0, 1).astype(float)
+        return self.owner[best].astype(np.int64), np.clip(cos[np.arange(len(c)), best], 0, 1).astype(float)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, rejected) of each text."""
-        c = counts(texts)
-        letters = np.array([has_letter(t) for t in texts], bool)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        lang, score = self.nearest(c)
-        rejected = ~letters | (score < self.floors[lang, _bin(c)])
-        return [self.langs[i] if ok else "und" for i, ok in zip(lang, letters)], np.where(letters, score, 0.0), rejected
 
-
-def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
+class Model:
+    """langs, the floors of each (len(langs) x BINS), and blocks: a function
+    from a block's number to the block, so that one is held at a time."""
+
+    def __init__(self, langs: list[str], floors: np.ndarray, n_blocks: int, block):
+        self.langs, self.floors, self.n_blocks, self.block = langs, floors, n_blocks, block
+
+    def nearest(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """docs (text, ...) with columns near, cosine and length_bin: the
+        language with the highest cosine of all blocks."""
+        spark = docs.sparkSession
+        names = docs.columns
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        made = None
+        for i in range(self.n_blocks):
+            sent = spark.sparkContext.broadcast(self.block(i))
+
+            def score(batches, sent=sent, further=i > 0):
+                for b in batches:
+                    for first, texts in _batches(b):
+                        own, c = b.slice(first, len(texts)), counts(texts)
+                        lang, cos = sent.value.nearest(c)
+                        if further:
+                            before = own.column("cosine").to_numpy()
+                            keep = before >= cos
+                            lang, cos = np.where(keep, own.column("near").to_numpy(), lang), np.where(keep, before, cos)
+                        yield pa.record_batch({**{n: own.column(n) for n in names}, "near": pa.array(lang), "cosine": pa.array(cos), "length_bin": pa.array(_bin(c).astype(np.int64))})
+
+            docs = docs.mapInArrow(score, f"{kept}, near long, cosine double, length_bin long")
+            if self.n_blocks > 1:
+                docs = scratch.save(docs)
+                if made is not None:
+                    scratch.drop(made)
+                made = docs
+                sent.destroy()
+        return docs
+
+
+def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, langs_a_block: int | None = None) -> Model:
     """train (text, lang, pick); pick is a double in [0, 1) that orders the
     choice of the rows that centroids are fitted on."""
+    langs_a_block = langs_a_block or LANGS
+
     def frequencies(batches):
         df, langs = np.zeros(DIM, np.int64), {}
         for b in batches:
@@ -148,19 +187,20 @@ def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
 
     stats = train.select("text", "lang").mapInArrow(frequencies, "cell long, lang string, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n"))
     stats = scratch.cut(stats)
-    sizes = {r["lang"]: r["n"] for r in stats.where("cell is null").orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(sizes)
-    n = sum(sizes.values())
+    sizes = stats.where("cell is null").select("lang", F.col("n").alias("rows"))
+    counted = sorted(map(tuple, sizes.collect()))
+    langs = [k for k, _ in counted]
+    n = sum(m for _, m in counted)
     df = np.zeros(DIM)
     for r in stats.where("cell is not null").collect():
         df[r["cell"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    floors = np.zeros((len(langs), BINS), np.float32)
     if not langs:
-        return Model([], np.zeros((0, DIM)), np.zeros(0, int), np.zeros((0, BINS)), idf)
-    share = F.create_map(*[x for k, m in sizes.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / m)))])
-    chosen = train.where(F.col("pick") < share[F.col("lang")])
+        return Model([], floors, 1, lambda i: Block(np.zeros((0, DIM), np.float32), np.zeros(0, int), idf))
+    # a row a language; its size is that of the list above
+    share = F.broadcast(sizes) if len(langs) <= 100_000 else sizes
+    chosen = train.join(share, "lang").where(F.col("pick") < F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("rows")))
 
     def weigh(batches):
         for b in batches:
@@ -177,34 +217,37 @@ def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
         c = fit_centroids(v)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tobytes() for x in c.astype(np.float32)]})
 
-    fitted = chosen.select("text", "lang", "pick").mapInArrow(weigh, "lang string, pick double, vector binary").groupBy("lang").applyInPandas(centre, "lang string, centroid binary")
-    rows = sorted(fitted.collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
-    place = {k: i for i, k in enumerate(langs)}
-    model = Model(langs, np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIM), np.array([place[r["lang"]] for r in rows], int), np.zeros((len(langs), BINS), np.float32), idf)
-    sent = train.sparkSession.sparkContext.broadcast(model)
+    fitted = scratch.cut(chosen.select("text", "lang", "pick").mapInArrow(weigh, "lang string, pick double, vector binary").groupBy("lang").applyInPandas(centre, "lang string, centroid binary"))
+
+    def block(i: int) -> Block:
+        some = langs[i * langs_a_block : (i + 1) * langs_a_block]
+        place = {k: i * langs_a_block + j for j, k in enumerate(some)}
+        rows = sorted(fitted.where(F.col("lang").between(some[0], some[-1])).collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
+        return Block(np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIM), np.array([place[r["lang"]] for r in rows], int), idf)
+
+    model = Model(langs, floors, -(-len(langs) // langs_a_block), block)
 
-    def nearest(batches):
+    def least(batches):
         held = {}
         for b in batches:
-            for first, texts in _batches(b):
-                c = counts(texts)
-                lang, cos = sent.value.nearest(c)
-                pick, key = b.column("pick").slice(first, len(texts)).to_numpy(), lang * BINS + _bin(c)
-                for k in np.unique(key).tolist():
-                    mine = key == k
-                    n, least, some = held.get(k, (0, np.inf, []))
-                    some = sorted([*some, *zip(pick[mine].tolist(), cos[mine].tolist())])[:FLOOR_ROWS]
-                    held[k] = n + int(mine.sum()), min(least, float(cos[mine].min())), some
+            lang, bins, pick, cos = (b.column(c).to_numpy() for c in ("near", "length_bin", "pick", "cosine"))
+            key = lang * BINS + bins
+            for k in np.unique(key).tolist():
+                mine = key == k
+                own, low, some = held.get(k, (0, np.inf, []))
+                some = sorted([*some, *zip(pick[mine].tolist(), cos[mine].tolist())])[:FLOOR_ROWS]
+                held[k] = own + int(mine.sum()), min(low, float(cos[mine].min())), some
         yield pa.record_batch({
-            "lang": pa.array([k // BINS for k in held], pa.int64()), "length_bin": pa.array([k % BINS for k in held], pa.int64()), "n": pa.array([x[0] for x in held.values()], pa.int64()), "least": pa.array([x[1] for x in held.values()], pa.float64()),
+            "near": pa.array([k // BINS for k in held], pa.int64()), "length_bin": pa.array([k % BINS for k in held], pa.int64()), "n": pa.array([x[0] for x in held.values()], pa.int64()), "least": pa.array([x[1] for x in held.values()], pa.float64()),
             "some": pa.array([[{"pick": p, "cosine": q} for p, q in x[2]] for x in held.values()], pa.list_(pa.struct([("pick", pa.float64()), ("cosine", pa.float64())]))),
         })
 
     some = F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, FLOOR_ROWS)["cosine"]
-    least = train.select("text", "pick").mapInArrow(nearest, "lang long, length_bin long, n long, least double, some array<struct<pick: double, cosine: double>>")
+    scored = model.nearest(train.select("text", "pick"), scratch).select("near", "length_bin", "pick", "cosine")
+    lows = scored.mapInArrow(least, "near long, length_bin long, n long, least double, some array<struct<pick: double, cosine: double>>")
     seen = {}
-    for r in least.groupBy("lang", "length_bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), some.alias("some")).collect():
-        seen.setdefault(r["lang"], {})[r["length_bin"]] = (r["n"], r["least"], r["some"])
+    for r in lows.groupBy("near", "length_bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), some.alias("some")).collect():
+        seen.setdefault(r["near"], {})[r["length_bin"]] = (r["n"], r["least"], r["some"])
     for lang, own in seen.items():
         model.floors[lang] = floors_of(own)
     return model
@@ -214,27 +257,33 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
+def pick_of(id_col: str, text_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
+
+
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, rejected,
     and the carried columns."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
-    train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), pick.alias("pick"))
-    model = spark.sparkContext.broadcast(fit(train, scratch))
+    train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), pick_of(id_col, text_col).alias("pick"))
+    model = fit(train, scratch)
+    found = spark.sparkContext.broadcast((model.langs, model.floors))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     schema = d.select("doc_id", *[f"carried_{c}" for c in carry]).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     names = schema.fieldNames()[:-3]
 
-    def predict(batches):
+    def judge(batches):
         for b in batches:
-            for first, texts in _batches(b):
-                lang, score, rejected = model.value.predict(texts)
-                own = b.slice(first, len(texts))
-                yield pa.record_batch({**{n: own.column(n) for n in names}, "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)})
-
-    out = d.mapInArrow(predict, schema)
+            langs, floors = found.value
+            letters = np.array([has_letter(t) for t in b.column("text").to_pylist()], bool)
+            near, cos, bins = (b.column(c).to_numpy() for c in ("near", "cosine", "length_bin"))
+            rejected = ~letters | (cos < floors[near, bins]) if langs else np.ones(len(near), bool)
+            said = [langs[i] if ok and langs else "und" for i, ok in zip(near, letters)]
+            yield pa.record_batch({**{n: b.column(n) for n in names}, "lang_pred": pa.array(said, pa.string()), "score": pa.array(np.where(letters, cos, 0.0)), "rejected": pa.array(rejected)})
+
+    out = model.nearest(d, scratch).mapInArrow(judge, schema)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected", *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 

@@ -1,13 +1,18 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Equal-token blocks are the seats. A source's documents are laid in a seeded
-order and cut into blocks of ``block`` words; seats go to the highest
-quotients target / (2 * seats + 1); a source takes its first seats' worth of
-words, starting over at the end of its documents.
+Equal-token blocks are the seats: they go to the highest quotients
+target / (2 * seats + 1). A source's documents are laid in a seeded order and
+cut into blocks of ``block`` words, and its blocks into ``SHARDS`` shards. Its
+seats are whole laps over all of its blocks and a rest; the rest is dealt to the
+shards as integer quotas, each in proportion to the shard's blocks, and a shard
+fills its quota with consecutive blocks, counted round from one that the seed
+picks. The order is seeded, so a run of blocks is a random choice of documents,
+and at most two documents a shard are taken in part.
 
 Defined results: null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own, last in order; repeated rows are separate
-documents; an empty table gives an empty result. Runs agree for one seed.
+documents; null ids are ordered by their texts; an empty table gives an empty
+result. Runs agree for one seed.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 128
+SHARDS = 16
 BUCKET_HEX = 3
 
 
@@ -66,14 +72,41 @@ def apportion(t: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     return won.groupBy("rank").agg((F.first("low") + F.sum("won")).alias("seats"))
 
 
-def shard_quotas(t: DataFrame, shards: int) -> DataFrame:
-    """Integer quotas per shard: (source, shard, blocks). A source's seats are
-    dealt round the shards, starting where the sources before it stopped."""
-    seats = apportion(t)
-    before = F.coalesce(F.sum("seats").over(W.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = t.join(seats, "rank").withColumn("before", before).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    own = F.floor(F.col("seats") / shards) + (F.pmod(F.col("shard") - F.col("before"), F.lit(shards)) < F.col("seats") % shards).cast("long")
-    return s.select("source", "shard", own.alias("blocks"))
+def shard_quotas(t: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """t (source, source_size, rank, target) → (source, laps, take, quotas) with
+    quotas an array of (shard, first, blocks, quota, begin): a shard's blocks
+    from ``first`` on, how many of them are taken once more, and the one that
+    they are counted from. ``take`` is the words that the seats stand for, at
+    most ``most`` times the size."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    s = t.join(apportion(t, block, most), "rank").withColumn("take", F.least(F.col("seats") * block, F.col("source_size") * most))
+    s = s.withColumn("laps", F.coalesce(F.expr("try_divide(take, source_size)").cast("long"), F.lit(0)))
+    s = s.withColumn("rest", F.floor((F.col("take") - F.col("laps") * F.col("source_size") + block // 2) / block)).withColumn("all", F.ceil(F.col("source_size") / block))
+    s = s.withColumn("shard", k).withColumn("first", F.floor(F.col("shard") * F.col("all") / shards)).withColumn("end", F.floor((F.col("shard") + 1) * F.col("all") / shards))
+
+    def dealt(upto):  # of the rest, what falls on the blocks before
+        return F.coalesce(F.floor(F.try_divide(F.col(upto) * F.col("rest"), F.col("all"))), F.lit(0))
+
+    name = F.concat(F.lit(f"{seed}:"), F.col("shard").cast("string"), F.lit(":"), F.coalesce("source", F.lit("")))
+    begin = F.coalesce(F.try_mod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("end") - F.col("first")), F.lit(0))
+    q = F.struct("shard", F.col("first").cast("long").alias("first"), (F.col("end") - F.col("first")).cast("long").alias("blocks"), (dealt("end") - dealt("first")).cast("long").alias("quota"), begin.cast("long").alias("begin"))
+    return s.groupBy("rank").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("laps").alias("laps"), F.first("take").alias("take"), F.sort_array(F.collect_list(q)).alias("quotas"))
+
+
+def words_of(start, size, quotas, block: int):
+    """Words of [start, start + size) that lie in the selected blocks: of each
+    shard those from begin to begin + quota, and from its first on what goes
+    round."""
+    def inside(lo, hi):
+        return F.greatest(F.least(start + size, hi * block) - F.greatest(start, lo * block), F.lit(0))
+
+    def of(q):
+        stop = q["begin"] + q["quota"]
+        here = inside(q["first"] + q["begin"], q["first"] + F.least(stop, q["blocks"]))
+        return here + inside(q["first"], q["first"] + F.greatest(stop - q["blocks"], F.lit(0)))
+
+    near = F.filter(quotas, lambda q: (q["first"] * block < start + size) & ((q["first"] + q["blocks"]) * block > start))
+    return F.aggregate(near, F.lit(0).cast("long"), lambda acc, q: acc + of(q))
 
 
 def word_count(text):
@@ -92,25 +125,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
     together, so a source that holds most rows still spreads over
     16**BUCKET_HEX tasks.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # rows without an id would share one key and with it one bucket
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), named))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_HEX)).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     if not carry:
         rows = Scratch(docs.sparkSession).cut(rows)
     sums = rows.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    seats = t.join(apportion(t, block, most), "rank").withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    take = F.least(F.col("seats") * block, F.col("source_size") * most)
-    seats = seats.select("src", "source_size", "target", take.alias("take"))
+    seats = shard_quotas(t, SHARDS, block, most, seed).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).select("src", "source_size", "target", "laps", "quotas")
     before = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = sums.select("src", "bucket", before.alias("offset")).join(seats, "src")
     inside = W.partitionBy("src", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(placed, ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
-    whole = F.coalesce(F.expr("try_divide(take, source_size)").cast("long"), F.lit(0))
-    rest = F.col("take") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
+    taken = F.col("laps") * F.col("size") + words_of(F.col("start"), F.col("size"), F.col("quotas"), block)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +151,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || sha256(coalesce(text, '')))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -138,10 +169,15 @@ t AS (SELECT w.*, f.target FROM w JOIN fill f USING (rank) WHERE f.round = (SELE
 seat AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place
          FROM t, generate_series(0, (SELECT round(sum(target) / {BLOCK})::BIGINT FROM t)) g(k)),
 won AS (SELECT rank, count(*) AS seats FROM seat WHERE place <= (SELECT round(sum(target) / {BLOCK})::BIGINT FROM t) GROUP BY rank),
-take AS (SELECT t.*, least(coalesce(seats, 0) * {BLOCK}, 2 * source_size) AS take FROM t LEFT JOIN won USING (rank)),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-SELECT o.doc_id, o.size::BIGINT AS size, source_size, round(target, 6) AS target,
-  (CASE WHEN source_size = 0 THEN 0 ELSE take // source_size * o.size
-     + greatest(0, least(o.size, take % source_size - start)) END)::BIGINT AS taken
-FROM o JOIN take ON o.source IS NOT DISTINCT FROM take.source
+take AS (SELECT t.*, least(coalesce(seats, 0) * {BLOCK}, 2 * source_size)::BIGINT AS take FROM t LEFT JOIN won USING (rank)),
+laps AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS laps, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM take),
+rest AS (SELECT *, (take - laps * source_size + {BLOCK // 2}) // {BLOCK} AS rest FROM laps),
+shard AS (SELECT rank, k, k * blocks // {SHARDS} AS first_, (k + 1) * blocks // {SHARDS} AS end_, rest, blocks, source FROM rest, range({SHARDS}) s(k)),
+quota AS (SELECT rank, first_, end_, end_ * rest // blocks - first_ * rest // blocks AS quota, ('0x' || substr(md5('{SEED}:' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT % (end_ - first_) AS begin_ FROM shard WHERE end_ > first_),
+picked AS (SELECT rank, ((first_ + begin_) * {BLOCK})::BIGINT AS lo, ((first_ + least(begin_ + quota, end_ - first_)) * {BLOCK})::BIGINT AS hi FROM quota
+           UNION ALL SELECT rank, (first_ * {BLOCK})::BIGINT, ((first_ + greatest(begin_ + quota - (end_ - first_), 0)) * {BLOCK})::BIGINT FROM quota),
+o AS (SELECT *, row_number() OVER () AS r, (sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d),
+extra AS (SELECT r, sum(greatest(least(start + size, hi) - greatest(start, lo), 0))::BIGINT AS words FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source JOIN picked USING (rank) GROUP BY r)
+SELECT o.doc_id, o.size::BIGINT AS size, source_size, round(target, 6) AS target, (laps * o.size + coalesce(words, 0))::BIGINT AS taken
+FROM o JOIN rest ON o.source IS NOT DISTINCT FROM rest.source LEFT JOIN extra USING (r)
 """
