@@ -12,8 +12,12 @@ text or role is empty; events that
 tie on their order sort by event, role and text, and an event that is logged
 twice counts once; an empty log gives no conversation. The query numbers the
 rows of ``conversations`` by turn, role and text, so repeated rows stay as
-turns of their own. A conversation becomes one row, so it is held by one task;
-everything before that last step is spread by turn.
+turns of their own.
+
+A conversation is rendered as one string, so its turns meet in one task: its
+events are sorted there, which spills to disk, and its parts are then held as
+one row. Events of one turn are folded by (conversation, turn). A hot
+conversation therefore bounds the time of a job, not the others of it.
 """
 
 from __future__ import annotations
@@ -39,10 +43,9 @@ def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of a log."""
     e = events.select("conv_id", "turn", "seq", F.coalesce("event", F.lit("message")).alias("event"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     of_conv = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, W.currentRow)
-    # the last regeneration of an earlier turn withdraws what was logged before it
-    regen = F.max(F.when(F.col("event") == "regenerate", F.struct("seq", "turn"))).over(W.partitionBy("conv_id"))
+    # the regeneration of an earlier turn withdraws what was logged before it
     later = F.collect_list(F.when(F.col("event") == "regenerate", F.struct("seq", "turn"))).over(of_conv)
-    e = e.withColumn("withdrawn", F.when(regen.isNotNull(), F.exists(later, lambda r: (r["turn"] < F.col("turn")) & (r["seq"] > F.col("seq")))).otherwise(False)).where("not coalesce(withdrawn, false)")
+    e = e.withColumn("later", later).where(~F.coalesce(F.exists("later", lambda r: (r["turn"] < F.col("turn")) & (r["seq"] > F.col("seq"))), F.lit(False))).drop("later")
     turn = W.partitionBy("conv_id", "turn")
     order = F.struct("seq", "event", "role", "text")
     e = e.withColumn("base", F.max(F.when(F.col("event") != "delta", order)).over(turn))

@@ -4,12 +4,16 @@ functions only).
 Every window of ``n`` consecutive words of a test item is an n-gram of the set
 (an item with fewer words, but not none, is one n-gram). The set is hashed by
 one token of each n-gram, its longest; the scan probes it at every position of
-a training text and compares the whole n-gram around each hit.
+a training text and compares the whole n-gram around each hit. A set with more
+than ``MAX_TOKENS`` such tokens or ``MAX_BROADCAST`` n-grams is hashed by whole
+n-grams instead: every window of a text is hashed, the hashes are joined with
+those of the set (broadcast up to MAX_BROADCAST n-grams, shuffled beyond), and
+hits are compared word by word.
 
 Defined results: null text has no words and is never contaminated; a null item
 id is left out of the lists of items; repeated rows are scanned as rows of
-their own; with no items nothing is hit; an empty table gives an empty result;
-only the named columns are read.
+their own; with no items nothing is hit; ids may be of any type; an empty table gives
+an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import null_safe_key
+from ._shared import Scratch, null_safe_key
 
 NGRAM = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: n-grams that are broadcast at most; beyond it the probe is a shuffled join.
-MAX_BROADCAST = 200_000
+MAX_TOKENS = 10_000  # tokens that are probed by a set in the plan
+MAX_BROADCAST = 200_000  # n-grams that are broadcast at most
 
 
 def split_words(text: Column) -> Column:
@@ -47,29 +51,53 @@ def test_ngrams(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, text_key, n_words, hits (positions of
     hit words in ``split_words``), n_hit, items, and the carried columns."""
-    grams = test_ngrams(benchmark, n).persist()
-    count = grams.count()
+    scratch = Scratch(docs.sparkSession)
+    grams = scratch.cut(test_ngrams(benchmark, n))
+    tokens = [r["token"] for r in grams.select("token").distinct().limit(MAX_TOKENS + 1).collect()]
     text = F.col(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), split_words(text).alias("words"), F.monotonically_increasing_id().alias("row"), *carry)
+    d = docs.select(F.col(id_col).alias("doc_id"), null_safe_key(id_col).alias("key"), F.xxhash64(text).alias("text_key"), text.alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    d = d.withColumn("words", split_words(F.col("text"))).drop("text")
     empty = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     d = d.withColumn("n_words", (F.size("words") - empty).cast("long"))
-    if count <= MAX_BROADCAST:
-        tokens = [r["token"] for r in grams.select("token").distinct().collect()]
-        probe = "lower(w) IN (%s)" % ", ".join(f"'{t}'" for t in tokens) if tokens else "false"
-        found = F.expr(f"filter(transform(words, (w, i) -> if({probe}, i, null)), i -> i IS NOT NULL)")
-        d = d.withColumn("at", F.explode_outer(found))
-        grams = F.broadcast(grams)
-    else:
-        d = d.withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.size("words") - 1)))
-    d = d.withColumn("probe", F.lower(F.get("words", F.col("at")))).withColumn("row_words", F.col("words"))
+    few = len(tokens) <= MAX_TOKENS and grams.count() <= MAX_BROADCAST
+    g = _by_token(d, F.broadcast(grams), tokens, carry) if few else _by_hash(scratch, d, grams)
+    hits = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["s"], s["e"]))))
+    items = F.sort_array(F.array_distinct(F.flatten("items")))
+    return g.select("doc_id", "text_key", "n_words", hits.alias("hits"), F.size(hits).cast("long").alias("n_hit"), items.alias("items"), *[F.col(f"carried_{c}").alias(c) for c in carry])
+
+
+def _by_token(d: DataFrame, grams: DataFrame, tokens: list[str], carry) -> DataFrame:
+    """d with spans and items of its hits."""
+    d = d.withColumn("row", F.monotonically_increasing_id())
+    probe = "lower(w) IN (%s)" % ", ".join(f"'{t}'" for t in tokens) if tokens else "false"
+    found = F.expr(f"filter(transform(words, (w, i) -> if({probe}, i, null)), i -> i IS NOT NULL)")
+    d = d.withColumn("at", F.explode_outer(found)).withColumn("probe", F.lower(F.get("words", F.col("at"))))
     start = F.col("at") - F.col("offset")
     whole = F.translate(F.concat_ws(" ", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("length"))), UPPER, LOWER) == F.col("ngram")
     j = d.join(grams, (F.col("probe") == F.col("token")) & (start >= 0) & whole, "left")
     span = F.when(F.col("ngram").isNotNull(), F.struct(start.alias("s"), (start + F.col("length") - 1).alias("e")))
-    g = j.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "n_words", *carry)], F.collect_set(span).alias("spans"), F.collect_set("items").alias("items"))
-    hits = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["s"], s["e"]))))
-    items = F.sort_array(F.array_distinct(F.flatten("items")))
-    return g.select("doc_id", "text_key", "n_words", hits.alias("hits"), F.size(hits).cast("long").alias("n_hit"), items.alias("items"), *carry)
+    return j.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "n_words", *[f"carried_{c}" for c in carry])], F.collect_set(span).alias("spans"), F.collect_set("items").alias("items"))
+
+
+def _by_hash(scratch: Scratch, d: DataFrame, grams: DataFrame) -> DataFrame:
+    """The same by hashes of whole windows; a window's row has its place and
+    hash, not the text."""
+    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # as many as an n-gram may have words
+
+    def windows(k):
+        at = F.when(F.size("low") >= k, F.sequence(F.lit(0), F.size("low") - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("s"), F.lit(k).alias("length"), F.xxhash64(F.slice("low", i + 1, F.lit(k))).alias("hash")))
+
+    w = d.select("key", "text_key", F.transform("words", lambda x: F.translate(x, UPPER, LOWER)).alias("low"))
+    w = w.select("key", "text_key", F.explode(F.concat(*[windows(k) for k in lengths])).alias("w")).select("key", "text_key", "w.*")
+    g = grams.select("ngram", "length", "items", F.xxhash64(F.split("ngram", " ")).alias("hash"))
+    if g.count() <= MAX_BROADCAST:
+        g = F.broadcast(g)
+    hits = w.join(g, ["hash", "length"]).groupBy("key", "text_key").agg(F.collect_set(F.struct("s", "length", "ngram", "items")).alias("maybe"))
+    j = d.join(scratch.save(hits), ["key", "text_key"], "left")
+    same = F.filter("maybe", lambda h: F.translate(F.concat_ws(" ", F.slice("words", h["s"] + 1, h["length"])), UPPER, LOWER) == h["ngram"])
+    j = j.withColumn("true", F.coalesce(same, F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("length"), F.lit("").alias("ngram"), F.array().cast("array<string>").alias("items"))), lambda h: F.lit(False))))
+    return j.withColumn("spans", F.transform("true", lambda h: F.struct(h["s"].alias("s"), (h["s"] + h["length"] - 1).alias("e")))).withColumn("items", F.transform("true", lambda h: h["items"]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = NGRAM) -> DataFrame:
@@ -78,6 +106,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     hit = scan(docs, benchmark, n).where("n_hit > 0").select(null_safe_key("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__text"])
+    # written first: while the hits are few, Spark sees their size and sends
+    # them to the texts instead of moving the texts
+    hit = Scratch(docs.sparkSession).save(hit if remove == "spans" else hit.drop("__hits"))
     d = docs.withColumn("__id", null_safe_key("doc_id")).withColumn("__text", F.xxhash64("text"))
     if remove == "documents":
         return d.join(hit, ["__id", "__text"], "left_anti").select(*[d[c] for c in docs.columns])

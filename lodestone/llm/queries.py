@@ -6,6 +6,7 @@ from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedu
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "url_filter_linked": url_filter.linked_query,
     "op2_secrets": secrets.query,
     "op3_language_id": language_id.query,
     "op4_minhash_dedup": minhash_dedup.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 SQL = {
     "op1_url_filter": url_filter.SQL,
+    "url_filter_linked": url_filter.LINKED_SQL,
     "op2_secrets": secrets.SQL,
     "op4_minhash_dedup": minhash_dedup.SQL,
     "op6_chat_format": chat_format.SQL,

@@ -9,12 +9,14 @@ the words of each block, so blocks can be found and decoded on their own.
 Selector 0 is an escape: the value stands alone in the next word.
 
 Defined results: null text is empty and gets the end id alone; documents that
-share an id are in any order among themselves; null ids come first; an empty
-table gives an empty result.
+share an id are in any order among themselves; null ids come first; ids may be of
+any type that sorts; an empty table gives an empty result; only the named
+columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, Scratch, chunks, mix, powers, ship
+from ._shared import _BASE, _SECOND_BASE, Scratch, chunks, mix, powers, ship
 
 END_ID = 0
 BLOCK = 1024
@@ -155,6 +157,7 @@ class _Table:
         self.keys[:] = 0
         self.n, self.used = 0, 0
         self.at, self.size, self.pool = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, np.uint32)
+        self.check = np.zeros(1 << 14, np.uint64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
@@ -166,12 +169,14 @@ class _Table:
             todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """Distinct new hashes and, end to end, the ids of their pieces."""
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Distinct new hashes, a second hash of each piece, and, end to end,
+        the ids of the pieces."""
         first = self.n
         self.n += len(h)
         if self.n > len(self.at):
-            self.at, self.size = (np.resize(x, self.n * 5 // 4) for x in (self.at, self.size))
+            self.at, self.size, self.check = (np.resize(x, self.n * 5 // 4) for x in (self.at, self.size, self.check))
+        self.check[first : self.n] = check
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, (self.used + len(ids)) * 5 // 4)
         self.at[first : self.n] = self.used + np.cumsum(size) - size
@@ -198,8 +203,9 @@ class Tokens:
 
     Texts of simple characters are cut, all at once, into the pieces that the
     byte-level pre-tokenizer makes; each distinct piece is encoded by the
-    library once and known from then on by its hash. Other texts (characters
-    beyond SIMPLE, apostrophes, special tokens) are encoded as a whole.
+    library once and known from then on by 128 bits of hash. Other texts
+    (characters beyond SIMPLE, apostrophes, special tokens) are encoded as a
+    whole, and all texts are where the file names another pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -211,7 +217,11 @@ class Tokens:
         kinds = [unicodedata.category(chr(c))[0] for c in range(ord(SIMPLE) + 1)]
         self.kind = np.array([1 if k == "L" else 2 if k == "N" else 3 for k in kinds], np.uint8)
         self.kind[[*range(9, 14), 0x20, 0x85, 0xA0]] = 0
-        self.code = np.random.default_rng(9).integers(0, 2**64, len(kinds), dtype=np.uint64)
+        self.code, self.second = np.random.default_rng(9).integers(0, 2**64, (2, len(kinds)), dtype=np.uint64)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split = said.get("pre_tokenizer") or {}
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer")
         letters = "".join(f"\\u{c:04x}" for c, k in enumerate(kinds) if k == "L")
         self.spaced = re.compile(f" [{letters}]+").fullmatch
         self.beyond = re.compile(f"[^\\x00-{SIMPLE}]").search
@@ -221,6 +231,8 @@ class Tokens:
         self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE_BYTE)]] = True
 
     def _whole(self, text: str) -> bool:
+        if not self.cuts:
+            return True
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -231,7 +243,7 @@ class Tokens:
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, pieces: list[str], h: np.ndarray) -> None:
+    def _learn(self, pieces: list[str], h: np.ndarray, check: np.ndarray) -> None:
         """Pieces of a space and letters are encoded many at a time, end to
         end: the pre-tokenizer parts them again, and a token that begins with a
         space begins a piece."""
@@ -243,12 +255,12 @@ class Tokens:
                 ids = self._alone(["".join([pieces[i] for i in some])])[0]
                 at = np.flatnonzero(self.opens[ids])
                 if len(at) == len(some):
-                    self.table.add(h[some], ids, np.diff(at, append=len(ids)))
+                    self.table.add(h[some], check[some], ids, np.diff(at, append=len(ids)))
                 else:
                     rest = np.concatenate([rest, some])
             if len(rest):
                 ids = self._alone([pieces[i] for i in rest])
-                self.table.add(h[rest], np.concatenate(ids), np.array([len(x) for x in ids]))
+                self.table.add(h[rest], check[rest], np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """(the texts end to end, their characters, starts of the pieces, piece counts of texts)."""
@@ -269,7 +281,7 @@ class Tokens:
         s = np.flatnonzero(start)
         return data, c, s, np.diff(np.searchsorted(s, np.concatenate([[0], np.cumsum(size)])))
 
-    def _known(self, data: str, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, data: str, h: np.ndarray, check: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of a run of pieces, end to end; number of ids of each)."""
         if self.table.full():
             self.table.clear()
@@ -277,10 +289,19 @@ class Tokens:
         gaps = np.flatnonzero(entry < 0)
         if len(gaps):
             new, at = np.unique(h[gaps], return_index=True)
-            self._learn([data[a:b] for a, b in zip(s[gaps[at]].tolist(), e[gaps[at]].tolist())], new)
+            self._learn([data[a:b] for a, b in zip(s[gaps[at]].tolist(), e[gaps[at]].tolist())], new, check[gaps[at]])
             entry[gaps] = self.table.find(h[gaps])
+        if (self.table.check[entry] != check).any():  # two pieces share 64 bits
+            ids = self._alone([data[a:b] for a, b in zip(s.tolist(), e.tolist())])
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
         return self.table.ids(entry)
 
+    @staticmethod
+    def _hashes(code: np.ndarray, base: int, c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(code[c] * powers(base, len(c)), out=sums[1:])
+        return mix((sums[e] - sums[s]) * powers(pow(base, -1, 2**64), len(c) + 1)[s] + (e - s).astype(np.uint64))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end to end; number of ids of each)."""
         whole = np.fromiter(map(self._whole, texts), bool, len(texts))
@@ -289,12 +310,10 @@ class Tokens:
         if simple:
             data, c, s, pieces = self._pieces(simple)
             e = np.append(s[1:], len(c))
-            sums = np.zeros(len(c) + 1, np.uint64)
-            np.cumsum(self.code[c] * powers(_BASE, len(c)), out=sums[1:])
-            h = mix((sums[e] - sums[s]) * powers(pow(_BASE, -1, 2**64), len(c) + 1)[s] + (e - s).astype(np.uint64))
+            h, check = (self._hashes(code, base, c, s, e) for code, base in ((self.code, _BASE), (self.second, _SECOND_BASE)))
             h[h == 0] = 1
             # a text may have more distinct pieces than the table has room for
-            runs = [self._known(data, h[i : i + self.table.step], s[i : i + self.table.step], e[i : i + self.table.step]) for i in range(0, len(h), self.table.step)]
+            runs = [self._known(data, *(x[i : i + self.table.step] for x in (h, check, s, e))) for i in range(0, len(h), self.table.step)]
             flat, size = (np.concatenate(x) for x in zip(*runs)) if runs else (flat, np.zeros(0, np.int64))
             upto = np.concatenate([[0], np.cumsum(size)])
             cut = np.concatenate([[0], np.cumsum(pieces)])
@@ -326,17 +345,19 @@ def default_path() -> str:
 # --------------------------------------------------------------------------
 # files
 
-PAGE = "shard int, page int, before long, doc_ids array<long>, lengths array<int>, n_ids long, block_words array<int>, words binary"
+PAGE = "shard int, page int, before long, doc_ids array<{}>, lengths array<int>, n_ids long, block_words array<int>, words binary"
 
 
 def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:
     """The pages of all documents in ascending id order."""
     ship(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = d.schema["doc_id"].dataType.simpleString()
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+
     def write(batches):
         lib = tokens(tokenizer or default_path())
-        held, size, before, page, shard = [], 0, 0, 0, 0
+        held, size, before, page, shard, id_type = [], 0, 0, 0, 0, None
 
         def flush():
             ids = np.concatenate([x for _, x, _ in held])
@@ -344,14 +365,14 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
             doc_ids, lengths = [i for own, _, _ in held for i in own], np.concatenate([n for _, _, n in held])
             return pa.record_batch({
                 "shard": pa.array([shard], pa.int32()), "page": pa.array([page], pa.int32()), "before": pa.array([before], pa.int64()),
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32())),
+                "doc_ids": pa.array([doc_ids], pa.list_(id_type)), "lengths": pa.array([lengths], pa.list_(pa.int32())),
                 "n_ids": pa.array([len(ids)], pa.int64()), "block_words": pa.array([block_words], pa.list_(pa.int32())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
             })
 
         for b in batches:
             if not b.num_rows:
                 continue
-            shard = b.column("shard")[0].as_py()
+            shard, id_type = b.column("shard")[0].as_py(), b.column("doc_id").type
             doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for rows in chunks(list(range(len(texts))), lambda i: len(texts[i]) + 1, PAGE_CHARS):
                 ids, n = lib.encode([texts[i] for i in rows])
@@ -364,7 +385,7 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
         if held:
             yield flush()
 
-    return d.mapInArrow(write, PAGE)
+    return d.mapInArrow(write, PAGE.format(kind))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, **kw) -> None:
@@ -381,6 +402,8 @@ def read(files: DataFrame) -> DataFrame:
     if totals.count() <= MAX_SHARDS:
         offsets = F.broadcast(offsets)
 
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+
     def unpack(batches):
         for b in batches:
             for r in range(b.num_rows):
@@ -392,7 +415,7 @@ def read(files: DataFrame) -> DataFrame:
                 data = ids.tobytes()
                 yield pa.record_batch({"doc_id": b.column("doc_ids")[r].values, "start": pa.array(start + b.column("offset")[r].as_py() + b.column("before")[r].as_py()), "n_tokens": pa.array(lengths), "ids": pa.array([data[4 * s : 4 * (s + k)] for s, k in zip(start, lengths)], pa.binary())})
 
-    return files.join(offsets, "shard").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(offsets, "shard").mapInArrow(unpack, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def digest(files: DataFrame) -> DataFrame:

@@ -70,11 +70,14 @@ def host_scores(seeds: DataFrame, edges: DataFrame, iterations: int = ITERATIONS
     A round is one join and one partly pre-aggregated sum, written to the
     shared folder."""
     scratch = Scratch(seeds.sparkSession)
-    out_n = edges.groupBy("src").agg(F.count("*").alias("n"))
-    in_n = edges.groupBy("dst").agg(F.count("*").alias("n"))
+    edges = scratch.save(edges)
+    # written before the joins, so that the rows of a hub host can be split
+    out_n = scratch.save(edges.groupBy("src").agg(F.count("*").alias("n")))
+    in_n = scratch.save(edges.groupBy("dst").agg(F.count("*").alias("n")))
     forward = edges.join(out_n, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), (damping / F.col("n")).alias("w"))
     backward = edges.join(in_n, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), (damping / F.col("n")).alias("w"))
     graph = scratch.save(forward.union(backward))
+    scratch.drop(edges, out_n, in_n)
     base = scratch.save(seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "score")).select("kind", "host", (F.col("score") * (1 - damping)).alias("score")).where("score > 0"))
     score = base
     for _ in range(0 if graph.isEmpty() else iterations):
@@ -112,7 +115,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _sql() -> str:
+def _linked_to(page: str) -> str:
+    return f"({page} * {page} + 7 * {page} + 3)"
+
+
+def linked_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with a link from each to the host of another one, as the
+    given pages link to no other host; scores as well as verdicts."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    n = pages.count()
+    target = pages.select((F.col("page_id") % n).alias("target"), host_and_path(F.col("url"))[0].alias("to"))
+    linked = pages.withColumn("target", F.expr(f"{_linked_to('page_id')} % {n}")).join(target, "target", "left")
+    linked = linked.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="http://'), F.coalesce("to", F.lit("nowhere.org")), F.lit('/">x</a>')))
+    out = filter_urls(linked)
+    return out.select("page_id", "host", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def _sql(linked: bool = False) -> str:
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
     host = f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '')"
     fits = []
@@ -125,8 +144,13 @@ def _sql() -> str:
         for i in range(1, ITERATIONS + 1)
     )
     link = LINK.replace("'", "''")
+    table, with_, shown = "pages", "", "page_id, p.host, path, rule"
+    if linked:
+        table, shown = "linked", "page_id, p.host, rule, round(coalesce(t, 0), 9) AS trust, round(coalesce(b, 0), 9) AS distrust"
+        with_ = f"""linked AS (SELECT a.page_id, a.url, coalesce(a.html, '') || '<a href="http://' || coalesce(c.to_, 'nowhere.org') || '/">x</a>' AS html FROM pages a
+  LEFT JOIN (SELECT page_id % (SELECT count(*) FROM pages) AS target, {host} AS to_ FROM pages) c ON c.target = {_linked_to('a.page_id')} % (SELECT count(*) FROM pages)),"""
     return f"""
-WITH p0 AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH {with_} p0 AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM {table}),
 p AS (SELECT *, {case(2)} AS rule, {case(1)} AS ruled FROM p0),
 e AS (SELECT DISTINCT src, translate(dst, '{UPPER}', '{LOWER}') AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS dst FROM p)
       WHERE src <> '' AND src <> translate(dst, '{UPPER}', '{LOWER}')),
@@ -135,8 +159,9 @@ graph AS (SELECT 'trust' AS kind, src AS from_, dst AS to_, {DAMPING} / count(*)
 base AS (SELECT kind, host, (avg(CASE WHEN ruled = v THEN 1.0 ELSE 0.0 END) * {1 - DAMPING})::DOUBLE AS score FROM p, (VALUES ('trust', 'allow'), ('distrust', 'block')) k(kind, v) WHERE host <> '' GROUP BY kind, host HAVING score > 0),
 r0 AS (SELECT * FROM base), {rounds},
 s AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS b FROM r{ITERATIONS} GROUP BY host)
-SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN coalesce(b, 0) - coalesce(t, 0) >= {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT {shown}, coalesce(ruled, CASE WHEN coalesce(b, 0) - coalesce(t, 0) >= {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN s ON s.host = p.host"""
 
 
 SQL = _sql()
+LINKED_SQL = _sql(linked=True)
