@@ -79,8 +79,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     parts = F.split("formatted", r"<\|im_start\|>")
     turns = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn)
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))
+    # four bytes a code point, so that a place is found without a walk to it; a
+    # letter in front keeps the decoder from taking a first U+FEFF as its mark
+    wide = formatted.withColumn("wide", F.encode("formatted", "UTF-32"))
+
+    def under(s: Column) -> Column:
+        own = F.substring(F.col("wide"), (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int"))
+        said = F.decode(F.concat(F.unhex(F.lit("00000061")), own), "UTF-32")
+        return unescape(F.substring(said, F.lit(2), F.length(said)))
+
+    return wide.withColumn("turns", turns).withColumn("loss_text", F.array_join(F.transform("loss", under), "")).drop("wide")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

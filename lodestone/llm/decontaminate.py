@@ -86,10 +86,13 @@ def _by_hash(scratch: Scratch, d: DataFrame, grams: DataFrame) -> DataFrame:
 
     def windows(k):
         at = F.when(F.size("low") >= k, F.sequence(F.lit(0), F.size("low") - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("s"), F.lit(k).alias("length"), F.xxhash64(F.slice("low", i + 1, F.lit(k))).alias("hash")))
+        own = low.select("key", "text_key", "low", F.explode(at).alias("s"))  # the words stay in their task
+        return own.select("key", "text_key", "s", F.lit(k).alias("length"), F.xxhash64(F.slice("low", F.col("s") + 1, F.lit(k))).alias("hash"))
 
-    w = d.select("key", "text_key", F.transform("words", lambda x: F.translate(x, UPPER, LOWER)).alias("low"))
-    w = w.select("key", "text_key", F.explode(F.concat(*[windows(k) for k in lengths])).alias("w")).select("key", "text_key", "w.*")
+    low = d.select("key", "text_key", F.transform("words", lambda x: F.translate(x, UPPER, LOWER)).alias("low"))
+    w = windows(lengths[0])
+    for k in lengths[1:]:
+        w = w.union(windows(k))
     g = grams.select("ngram", "length", "items", F.xxhash64(F.split("ngram", " ")).alias("hash"))
     if g.count() <= MAX_BROADCAST:
         g = F.broadcast(g)

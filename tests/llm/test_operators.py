@@ -151,6 +151,15 @@ def test_propagation_equals_power_iteration(spark):
         assert all(abs(score[h] - got.get(h, (0, 0))[k]) < 1e-9 for h in hosts)
 
 
+def test_a_hub_that_all_hosts_link_to(spark):
+    """In-degree and out-degree of 2,000 on one host."""
+    edges = [(f"h{i}", "hub") for i in range(2000)] + [("hub", f"h{i}") for i in range(2000)]
+    seeds = [("hub", 0.0, 1.0), *[(f"h{i}", 1.0, 0.0) for i in range(2000)]]
+    got = {r.host: r for r in url_filter.host_scores(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string"), 1).collect()}
+    assert len(got) == 2001 and got["hub"].trust == pytest.approx(2000 * 0.15 * 0.85)
+    assert got["h7"].distrust == pytest.approx(0.15 * 0.85 / 2000) and got["h7"].trust == pytest.approx(0.15)
+
+
 def test_distrust_goes_back_and_trust_forward(spark):
     link = lambda *hs: " ".join(f'<a HREF = "http://{h}/x">' for h in hs)
     p = pages(
@@ -213,6 +222,21 @@ def test_bounds_in_the_pattern_change_nothing(text):
     assert [m.span() for m in re.finditer(f"[0-9a-f]{{{least},}}", text)] == stated
 
 
+def test_texts_with_very_many_matches(spark):
+    """Places of 20,000 matches of a kind in one text."""
+    texts = ["token=abcdef é " * 20_000, " ".join(["0123456789abcdef01234567"] * 20_000), ("x" * 50 + " secret:'abcdefg' ") * (secrets.RUN + 1)]
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, *[(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert {x.kind: [(s.start, s.end) for s in got[i][x.kind]] for x in secrets.RULES} == brute_secrets(t)
+
+
+def test_a_stored_index_gives_the_same(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet").union(spark.createDataFrame([(-1, "xoxb-0123456789abc ghp_" + "a" * 40, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    index = secrets.postings(d, secrets.wanted_trigrams(secrets.RULES))
+    show = lambda **kw: sorted(map(str, secrets.scan(d, **kw).drop("text").collect()))
+    assert show() == show(index=index)
+
+
 def test_rules_that_scan_everything_and_redaction(spark):
     df = docs(spark, (1, "a token=abcdef b " + "0" * 24, None, None), (2, "clean", None, None))
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [secret] b [secret]", 2: "clean"}
@@ -481,7 +505,17 @@ def test_event_log_is_folded(spark):
     assert chat_format.fold(events.limit(0)).count() == 0
 
 
-NASTY = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "<", "|", "\n", "<|nl|>", "", "x<", "$1\\", "é😀"]
+def test_a_long_conversation_and_a_long_text(spark):
+    said = "<|im_end|> x" * 100_000
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}" if t != 77 else said) for t in range(5000)] + [(2, 0, "user", "a")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log_ = m.withColumn("seq", F.col("turn")).withColumn("event", F.lit("message"))
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.render(chat_format.fold(log_))).collect()}
+    assert [(t.role, t.text) for t in out[1].turns] == [(role, text) for c, _, role, text in rows if c == 1]
+    assert out[1].loss_text == "".join(text for c, _, role, text in rows if c == 1 and role == "assistant") and len(out[2].turns) == 1
+
+
+NASTY = ["\ufeff", "<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "<", "|", "\n", "<|nl|>", "", "x<", "$1\\", "é😀"]
 
 
 def test_rendered_conversations_read_back(spark):
@@ -615,14 +649,29 @@ def test_decontamination(spark):
         decontaminate.decontaminate(df, b, "x")
 
 
-def test_decontamination_without_broadcast_is_the_same(spark, small, monkeypatch):
+@pytest.mark.parametrize("bounds", [("MAX_BROADCAST", 0), ("MAX_TOKENS", 0)])
+def test_decontamination_by_hashes_is_the_same(spark, small, monkeypatch, bounds):
     d, b = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     show = lambda: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(d, b).collect())
     first = show()
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, *bounds)
     assert show() == first
 
 
+def test_many_ngrams_on_long_documents(spark):
+    """300,000 n-grams, more than is broadcast, and documents of 20,000 words."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    items = [[word() for _ in range(309)] for _ in range(1000)]
+    texts = [[word() for _ in range(20_000)] for _ in range(4)]
+    texts[1][500:510], texts[2][19_985:] = items[7][30:40], items[8][:15]
+    df = docs(spark, *[(i, " ".join(t), None, None) for i, t in enumerate(texts)])
+    b = bench(spark, *[(i, " ".join(t)) for i, t in enumerate(items)])
+    assert decontaminate.test_ngrams(b).count() > 299_000
+    got = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(df, b).collect()}
+    assert got == {0: (20_000, 0, ()), 1: (20_000, 10, ("7",)), 2: (20_000, 15, ("8",)), 3: (20_000, 0, ())}
+
+
 # -- 10 ----------------------------------------------------------------------
 
 
@@ -716,3 +765,66 @@ def test_one_source_and_one_text_hold_most_rows(spark):
     assert [(x.component_id, x["count"]) for x in near] == [(0, 3000)]
     m = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(x.taken - x.target) <= 2 * mixing.BLOCK for x in m)
+
+
+# -- ids of any type -----------------------------------------------------------
+
+
+def test_string_ids(spark, small):
+    """Every operator with ids that are no numbers gives what it gives with
+    numbers that sort alike; further columns with names of its own don't matter."""
+    d = spark.read.parquet(f"{small}/documents.parquet").limit(80).select("doc_id", "text", "lang", "source")
+    numbers = docs(spark, *[tuple(r) for r in d.collect()])
+    name = F.concat(F.lit("d-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+    strings = numbers.withColumn("doc_id", name)
+    b = spark.read.parquet(f"{small}/benchmark.parquet")
+
+    def show(out, *ids):
+        for c in ids:
+            if not isinstance(out.schema[c].dataType, type(strings.schema["doc_id"].dataType)):
+                out = out.withColumn(c, F.concat(F.lit("d-"), F.lpad(F.col(c).cast("string"), 6, "0")))
+        return sorted(map(str, out.collect()))
+
+    for f, ids in (
+        (lambda x: secrets.scan(x).drop("text"), ["doc_id"]),
+        (lambda x: minhash_dedup.near_duplicates(x).drop("text_key"), ["doc_id", "component_id"]),
+        (lambda x: substring_dedup.remove_repeats(x).drop("kept"), ["doc_id"]),
+        (lambda x: exact_dedup.exact_dedup(x), ["doc_id", "keep_id"]),
+        (lambda x: decontaminate.scan(x, b), ["doc_id"]),
+        (lambda x: decontaminate.decontaminate(x, b).select("doc_id"), ["doc_id"]),
+        (lambda x: token_output.digest(token_output.pages(x.repartition(3))), ["doc_id"]),
+    ):
+        assert show(f(numbers), *ids) == show(f(strings), *ids)
+    assert language_id.identify(strings).count() == 80
+    assert sum(r.taken for r in mixing.mix(strings).collect()) > 0
+    messages = spark.createDataFrame([("c-1", 0, "user", "a", 3), ("c-1", 1, "assistant", "b", 3)], "conv_id string, turn long, role string, text string, parts int")
+    assert chat_format.render(messages).first()["formatted"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+
+
+def test_tokens_of_another_pre_tokenizer(tmp_path):
+    """A file with a normalizer, or cutting in another way, is encoded whole."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(token_output.default_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    for name, change in (("n", {"normalizer": {"type": "Lowercase"}}), ("p", {"pre_tokenizer": said["pre_tokenizer"] | {"use_regex": False}})):
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(said | change, f)
+        lib, own = Tokenizer.from_file(path), token_output.Tokens(path)
+        texts = ["Some words THE words", "", "a  b\n"]
+        ids, n = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(token_output.default_path()), token_output.Tokens(token_output.default_path())
+    own.code[:] = 7  # all pieces of a length share the first 64 bits
+    texts = ["one two six ten", "ten six 12 two"]
+    for _ in range(2):
+        ids, n = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
