@@ -86,13 +86,3 @@ def excerpt(text, most: int = 200) -> Column:
     words = F.regexp_replace(cut, r"(?s) [^ ]*$", "")
     short = F.when(F.contains(cut, F.lit(" ")) & (F.octet_length(words) > most - 50) & (F.octet_length(words) > 0), words).otherwise(cut)
     return F.when(F.octet_length(t) <= most, t).otherwise(F.concat(short, F.lit(ELLIPSIS)))
-
-
-def rows_to_markdown(cells) -> Column:
-    """Table cells as Markdown rows, a rule under the first."""
-    def line(r, i):
-        row = F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |\n"))
-        rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(r)), F.lit("\n"))
-        return F.when(i == 0, F.concat(row, rule)).otherwise(row)
-
-    return F.array_join(F.transform(_col(cells), line), "")

@@ -49,11 +49,6 @@ def test_trim_and_tail(spark):
     assert one(spark, "ab", lambda c: T.tail(c, 9)) == "ab"
 
 
-def test_rows_to_markdown(spark):
-    df = spark.createDataFrame([([["h1", "h2"], ["1", "2"]],)], "c array<array<string>>")
-    assert df.select(T.rows_to_markdown("c")).first()[0] == "| h1 | h2 |\n|---|---|\n| 1 | 2 |\n"
-
-
 def test_section_key_of_null(spark):
     df = spark.range(1).select(F.lit(None).cast("array<string>").alias("p"))
     assert df.select(T.section_key("p"), T.section_label("p")).first() == ("", "")
