@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage
 before it kept, written as Parquet and read again. All but the last return the
 columns of documents.
+
+Defined results of the whole: a null or empty text, or one without letters, has
+no language and goes in the first stage; a null language is filled in; a null
+source is a source of its own; a null id groups, mixes and is written like any
+other, first in order; of rows that repeat an id and a text one stays; documents
+that the mix takes twice are written twice; columns that documents do not have
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
