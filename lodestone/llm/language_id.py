@@ -139,17 +139,21 @@ class Model:
     def __init__(self, langs: list[str], floors: np.ndarray, n_blocks: int, block):
         self.langs, self.floors, self.n_blocks, self.block = langs, floors, n_blocks, block
 
-    def nearest(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    def nearest(self, docs: DataFrame, scratch: Scratch, finish=None, schema=None) -> DataFrame:
         """docs (text, ...) with columns near, cosine and length_bin: the
-        language with the highest cosine of all blocks."""
+        language with the highest cosine of all blocks. ``finish`` makes rows of
+        ``schema`` out of them in the same worker: from an iterator of (batch,
+        texts, near, cosine, length_bin) to one of batches."""
         spark = docs.sparkSession
         names = docs.columns
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        scored = f"{kept}, near long, cosine double, length_bin long"
         made = None
         for i in range(self.n_blocks):
             sent = spark.sparkContext.broadcast(self.block(i))
+            last = i == self.n_blocks - 1
 
-            def score(batches, sent=sent, further=i > 0):
+            def rows(batches, sent=sent, further=i > 0):
                 for b in batches:
                     for first, texts in _batches(b):
                         own, c = b.slice(first, len(texts)), counts(texts)
@@ -158,10 +162,17 @@ class Model:
                             before = own.column("cosine").to_numpy()
                             keep = before >= cos
                             lang, cos = np.where(keep, own.column("near").to_numpy(), lang), np.where(keep, before, cos)
-                        yield pa.record_batch({**{n: own.column(n) for n in names}, "near": pa.array(lang), "cosine": pa.array(cos), "length_bin": pa.array(_bin(c).astype(np.int64))})
+                        yield own, texts, lang, cos, _bin(c).astype(np.int64)
 
-            docs = docs.mapInArrow(score, f"{kept}, near long, cosine double, length_bin long")
-            if self.n_blocks > 1:
+            def plain(found):
+                for own, _, lang, cos, bins in found:
+                    yield pa.record_batch({**{n: own.column(n) for n in names}, "near": pa.array(lang), "cosine": pa.array(cos), "length_bin": pa.array(bins)})
+
+            def score(batches, rows=rows, make=finish if last and finish else plain):
+                yield from make(rows(batches))
+
+            docs = docs.mapInArrow(score, schema if last and finish else scored)
+            if not last:
                 docs = scratch.save(docs)
                 if made is not None:
                     scratch.drop(made)
@@ -227,11 +238,10 @@ def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, langs_a_bl
 
     model = Model(langs, floors, -(-len(langs) // langs_a_block), block)
 
-    def least(batches):
+    def least(found):
         held = {}
-        for b in batches:
-            lang, bins, pick, cos = (b.column(c).to_numpy() for c in ("near", "length_bin", "pick", "cosine"))
-            key = lang * BINS + bins
+        for own_, _, lang, cos, bins in found:
+            pick, key = own_.column("pick").to_numpy(), lang * BINS + bins
             for k in np.unique(key).tolist():
                 mine = key == k
                 own, low, some = held.get(k, (0, np.inf, []))
@@ -243,8 +253,7 @@ def fit(train: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, langs_a_bl
         })
 
     some = F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, FLOOR_ROWS)["cosine"]
-    scored = model.nearest(train.select("text", "pick"), scratch).select("near", "length_bin", "pick", "cosine")
-    lows = scored.mapInArrow(least, "near long, length_bin long, n long, least double, some array<struct<pick: double, cosine: double>>")
+    lows = model.nearest(train.select("text", "pick"), scratch, least, "near long, length_bin long, n long, least double, some array<struct<pick: double, cosine: double>>")
     seen = {}
     for r in lows.groupBy("near", "length_bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), some.alias("some")).collect():
         seen.setdefault(r["near"], {})[r["length_bin"]] = (r["n"], r["least"], r["some"])
@@ -274,16 +283,15 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     schema = d.select("doc_id", *[f"carried_{c}" for c in carry]).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     names = schema.fieldNames()[:-3]
 
-    def judge(batches):
-        for b in batches:
-            langs, floors = found.value
-            letters = np.array([has_letter(t) for t in b.column("text").to_pylist()], bool)
-            near, cos, bins = (b.column(c).to_numpy() for c in ("near", "cosine", "length_bin"))
+    def judge(scored):
+        langs, floors = found.value
+        for own, texts, near, cos, bins in scored:
+            letters = np.array([has_letter(t) for t in texts], bool)
             rejected = ~letters | (cos < floors[near, bins]) if langs else np.ones(len(near), bool)
             said = [langs[i] if ok and langs else "und" for i, ok in zip(near, letters)]
-            yield pa.record_batch({**{n: b.column(n) for n in names}, "lang_pred": pa.array(said, pa.string()), "score": pa.array(np.where(letters, cos, 0.0)), "rejected": pa.array(rejected)})
+            yield pa.record_batch({**{n: own.column(n) for n in names}, "lang_pred": pa.array(said, pa.string()), "score": pa.array(np.where(letters, cos, 0.0)), "rejected": pa.array(rejected)})
 
-    out = model.nearest(d, scratch).mapInArrow(judge, schema)
+    out = model.nearest(d, scratch, judge, schema)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected", *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
