@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import runtime
 from .sparse import top_k
 
 #: queries whose vectors are broadcast together; more are searched in blocks
@@ -39,9 +41,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
     BLOCK take further passes over the vectors. k <= 0 keeps everything.
     """
     spark = vectors.sparkSession
+    runtime.send_package(spark)
     v = (vectors.where(where) if where is not None else vectors).where("vector IS NOT NULL").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
     id_type = v.schema["chunk_id"].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
+    q_arrow = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {q_type}, chunk_id {id_type}, score double"
 
     def one(ids: list, matrix: np.ndarray) -> DataFrame:
@@ -49,7 +53,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
 
         def run(batches):
             ids, m = shared.value
-            id_array = pa.array(ids)
+            id_array = pa.array(ids, q_arrow)
             step = max(64, CELLS // max(1, len(ids)))
             best = np.full((len(ids), k), -np.inf) if 0 < k * len(ids) <= CELLS else None
             for b in batches:
