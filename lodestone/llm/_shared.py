@@ -33,8 +33,8 @@ class Scratch:
 
     ``save`` writes a table that the operator reads again; ``drop`` removes
     those it no longer needs; ``cut`` ends the lineage of a frame that the
-    returned result still reads (a reliable checkpoint, which Spark removes
-    when nothing refers to it any more).
+    returned result still reads (a reliable checkpoint; Spark removes it only
+    where spark.cleaner.referenceTracking.cleanCheckpoints is on).
     """
 
     def __init__(self, spark: SparkSession):
