@@ -9,9 +9,9 @@ the words of each block, so blocks can be found and decoded on their own.
 Selector 0 is an escape: the value stands alone in the next word.
 
 Defined results: null text is empty and gets the end id alone; documents that
-share an id are in any order among themselves; null ids come first; ids may be of
-any type that sorts; an empty table gives an empty result; only the named
-columns are read.
+share an id are in order of a hash of their texts, so that many of them make
+several shards; null ids come first; ids may be of any type that sorts; an empty
+table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -353,7 +353,8 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
     def write(batches):
         lib = tokens(tokenizer or default_path())

@@ -752,6 +752,28 @@ def test_token_files(spark, small, tmp_path):
     assert token_output.digest(token_output.pages(none(spark))).count() == 0
 
 
+def test_rows_without_an_id_make_several_shards(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_output.default_path())
+    rows = [(None if i % 3 else i, f"text number {i} " + "more words " * (i % 7)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        files = Scratch(spark).save(token_output.pages(d))
+    finally:
+        spark.conf.set(coalesce, before)
+    assert files.where(F.exists("doc_ids", F.isnull)).select("shard").distinct().count() > 1
+    got = sorted(token_output.read(files).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == 600
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    want = sorted((i is not None, i or 0, [*lib.encode(t, add_special_tokens=False).ids, 0]) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
+
+
 # -- hot groups ----------------------------------------------------------------
 
 
