@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -71,6 +72,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run):
+    """``run`` for mapInArrow; after its last batch the worker, which stays for
+    further tasks, gives the memory that it has freed back to the system."""
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return task
+
+
 def null_safe_key(c: str):
     """A long that stands for a nullable id of any type; equal ids give equal
     keys. Two ids may share a key, so it is joined on beside a text's hash."""
@@ -93,7 +107,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**i mod 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 20), np.uint64)
+        have = np.ones(1 << max(n - 1, 1 << 16).bit_length(), np.uint64)
         filled = 1
         while filled < len(have):
             k = min(filled, len(have) - filled)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, chunks, ship
+from ._shared import Scratch, chunks, ship, tidy
 
 DIM = 4096
 CENTROIDS = 4
@@ -171,7 +171,7 @@ class Model:
             def score(batches, rows=rows, make=finish if last and finish else plain):
                 yield from make(rows(batches))
 
-            docs = docs.mapInArrow(score, schema if last and finish else scored)
+            docs = docs.mapInArrow(tidy(score), schema if last and finish else scored)
             if not last:
                 docs = scratch.save(docs)
                 if made is not None:

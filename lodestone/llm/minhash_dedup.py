@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Repeats, Scratch, chunks, components, mix, null_safe_key, powers, ship, word_hashes
+from ._shared import Repeats, Scratch, chunks, components, mix, null_safe_key, powers, ship, tidy, word_hashes
 
 WORDS = 5
 THRESHOLD = 85  # per cent, of intersection to union
@@ -248,7 +248,7 @@ def _connect(scratch: Scratch, rows: DataFrame, groups: DataFrame, block: int, c
     large = many.count()
 
     def found(dealt: DataFrame) -> DataFrame:
-        return dealt.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(compare, "u long, v long")
+        return dealt.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(tidy(compare), "u long, v long")
 
     if not large:
         return components(scratch, found(rows.withColumns({"b1": F.lit(0), "b2": F.lit(0), "own": F.lit(0), "comp": F.col("node")})))
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
     limit = most_bits(threshold)
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    signed = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign, f"doc_id {kind}, text_key long, row long, n_shingles long, print long, check long, bands array<long>, sketch binary")
+    signed = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(_sign), f"doc_id {kind}, text_key long, row long, n_shingles long, print long, check long, bands array<long>, sketch binary")
     signed = scratch.save(signed)
     classes = signed.where("n_shingles > 0").groupBy("print", "check").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("bands", "sketch", "doc_id")])
     classes = scratch.save(classes)
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col="doc_id"
                 print_, check = set_prints(sets)
                 yield pa.record_batch({"print": pa.array(print_), "check": pa.array(check), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = texts.select("text").mapInArrow(members, "print long, check long, members binary").dropDuplicates(["print", "check"])
+    sets = texts.select("text").mapInArrow(tidy(members), "print long, check long, members binary").dropDuplicates(["print", "check"])
     full = wanted.select("key", "node", "sketch", "print", "check").join(sets, ["print", "check"]).select("key", "node", "sketch", "members")
     label = _connect(scratch, full, families, block, _by_sets(limit, threshold))
     label = classes.select("print", "check", "node").join(label, "node", "left").select("print", "check", F.coalesce("label", "node").alias("label"))

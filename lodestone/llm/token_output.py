@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, _SECOND_BASE, Scratch, chunks, mix, powers, ship
+from ._shared import _BASE, _SECOND_BASE, Scratch, chunks, mix, powers, ship, tidy
 
 END_ID = 0
 BLOCK = 1024
 PAGE_IDS = 1 << 18
-PAGE_CHARS = 1 << 19
+PAGE_CHARS = 1 << 18
 #: selector -> (values in a word, bits of each); 0 is the escape
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 _BY_COUNT = {n: (s, w) for s, (n, w) in SELECTORS.items()}
@@ -386,7 +386,7 @@ def pages(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, i
         if held:
             yield flush()
 
-    return d.mapInArrow(write, PAGE.format(kind))
+    return d.mapInArrow(tidy(write), PAGE.format(kind))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, **kw) -> None:
@@ -416,7 +416,7 @@ def read(files: DataFrame) -> DataFrame:
                 data = ids.tobytes()
                 yield pa.record_batch({"doc_id": b.column("doc_ids")[r].values, "start": pa.array(start + b.column("offset")[r].as_py() + b.column("before")[r].as_py()), "n_tokens": pa.array(lengths), "ids": pa.array([data[4 * s : 4 * (s + k)] for s, k in zip(start, lengths)], pa.binary())})
 
-    return files.join(offsets, "shard").mapInArrow(unpack, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return files.join(offsets, "shard").mapInArrow(tidy(unpack), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def digest(files: DataFrame) -> DataFrame:
