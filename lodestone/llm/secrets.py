@@ -7,10 +7,11 @@ intersected and those of the clauses united; documents that satisfy a rule's
 query are its candidates and are verified with the regex. A rule without
 mandatory trigrams scans every text.
 
-``scan`` computes the postings of a document where its text is and intersects
-them there, trigram by trigram until one is missing, so no text moves.
-``postings`` builds the index as a table, for a corpus that is scanned again
-with ``scan(..., index=...)``.
+``postings`` cuts every text to its trigrams and builds the index as a table;
+``scan(..., index=...)`` intersects the postings and verifies the candidates, and
+the query does both. ``scan`` without an index is for a corpus that is looked at
+once: it tests the Boolean query on each text, trigram by trigram until one is
+missing, and has no postings.
 
 Defined results: null text is empty; ids may be of any type; rows that share an
 id are verified one by one; an empty table gives an empty result; only the named
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import null_safe_key
+from ._shared import Scratch, null_safe_key
 
 
 @dataclass(frozen=True)
@@ -134,11 +135,26 @@ def _lowered(text_col) -> Column:
     return F.lower(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col="doc_id", text_col="text") -> DataFrame:
-    """The inverted index of the wanted trigrams: (trigram, key)."""
-    d = docs.select(null_safe_key(id_col).alias("key"), _lowered(text_col).alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), t) for t in trigrams]))
-    return d.select("key", F.explode(present).alias("trigram"))
+# pieces overlap by two code points, so that no trigram is lost at a border;
+# possessive, as a greedy repeat recurses where characters differ in width
+PIECE = r"(?s)(?=(.{1,65538}+)).{1,65536}+"
+TRIGRAM = r"(?s)(?=(...))."
+
+
+def _code(trigram) -> Column:
+    """What stands for a trigram in the index. Two that share a code would only
+    make further candidates, which the regex refuses."""
+    return F.xxhash64(trigram)
+
+
+def postings(docs: DataFrame, trigrams: list[str] | None = None, id_col="doc_id", text_col="text") -> DataFrame:
+    """The inverted index (trigram, key) of every trigram of every lower-cased
+    text, or of the given trigrams only. Rows may repeat."""
+    d = docs.select(null_safe_key(id_col).alias("key"), F.explode(F.regexp_extract_all(_lowered(text_col), F.lit(PIECE), F.lit(1))).alias("piece"))
+    held = d.select("key", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(TRIGRAM), F.lit(1)))).alias("held"))
+    if trigrams is not None:
+        held = held.where(F.col("held").isin(trigrams))
+    return held.select(_code("held").alias("trigram"), "key")
 
 
 def wanted_trigrams(rules) -> list[str]:
@@ -153,11 +169,21 @@ def candidates(index: DataFrame, rules) -> DataFrame:
     for rule in rules:
         for n, clause in enumerate(sorted(map(sorted, trigram_query(rule.regex)))):
             rows += [(rule.kind, n, t, 1 << i, (1 << len(clause)) - 1) for i, t in enumerate(clause)]
-    clauses = F.broadcast(spark.createDataFrame(rows, "kind string, clause int, trigram string, bit long, need long"))  # as many rows as the rules have trigrams
+    clauses = F.broadcast(spark.createDataFrame(rows, "kind string, clause int, trigram string, bit long, need long").withColumn("trigram", _code("trigram")))  # as many rows as the rules have trigrams
     met = index.join(clauses, "trigram").groupBy("key", "kind", "clause").agg(F.bit_or("bit").alias("have"), F.first("need").alias("need")).where("have = need")
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+MAX_SENT = 500_000  # candidates that are broadcast; more are joined by sorting
+
+
+def _join_candidates(d: DataFrame, found: DataFrame) -> DataFrame:
+    """d with the column ``kinds``; no text moves unless there are more than
+    MAX_SENT candidates."""
+    found = Scratch(d.sparkSession).cut(found)
+    return d.join(F.broadcast(found) if found.count() <= MAX_SENT else found.hint("merge"), "key", "left")
+
+
 def satisfies(low: Column, rule: Rule) -> Column:
     """Whether a lower-cased text is posted under all trigrams of a clause."""
     clauses = [functools.reduce(operator.and_, [F.contains(low, F.lit(t)) for t in sorted(c)]) for c in sorted(trigram_query(rule.regex), key=sorted)]
@@ -193,14 +219,15 @@ def _spans(text: Column, rule: Rule) -> Column:
 def scan(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text", index: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text, and a column per rule with its
     spans (start, end, sized). ``index`` is a stored index of docs' postings; it
-    must hold every trigram of ``wanted_trigrams``."""
+    must hold every trigram of ``wanted_trigrams``, and is read before ``scan``
+    returns and not after."""
     bounded = [r for r in rules if frozenset() not in trigram_query(r.regex)]
     d = docs.select(F.col(id_col).alias("doc_id"), null_safe_key(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if index is None or not bounded:
         d = d.withColumn("low", _lowered("text"))
         may = {r.kind: satisfies(F.col("low"), r) for r in bounded}
     else:
-        d = d.join(candidates(index, bounded), "key", "left")
+        d = _join_candidates(d, candidates(index, bounded))
         may = {r.kind: F.array_contains("kinds", r.kind) for r in bounded}
     none = F.expr("CAST(array() AS array<struct<start:int,end:int,sized:int>>)")
     cols = [F.coalesce(F.when(may[r.kind], _spans(F.col("text"), r)) if r.kind in may else _spans(F.col("text"), r), none).alias(r.kind) for r in rules]
@@ -233,7 +260,10 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    index = scratch.save(postings(docs))
+    s = scan(docs, index=index)
+    scratch.drop(index)
     base = [r for r in RULES if r.base]
     return s.select("doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in base], F.sha2(span_list(base), 256).alias("base_sha256"), span_list(RULES).alias("spans"))
 

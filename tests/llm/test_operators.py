@@ -237,6 +237,36 @@ def test_a_stored_index_gives_the_same(spark, small):
     assert show() == show(index=index)
 
 
+def trigrams(text):
+    low = (text or "").lower()
+    return {low[i : i + 3] for i in range(len(low) - 2)}
+
+
+def test_the_query_intersects_postings_of_every_text(spark, small, con, monkeypatch):
+    """The query's candidates come from an index of all trigrams, whether they
+    are broadcast or joined by sorting."""
+    want = sum(len(trigrams(r.text)) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect())
+    seen, real = [], secrets.candidates
+    monkeypatch.setattr(secrets, "candidates", lambda index, rules: seen.append(index.distinct().count()) or real(index, rules))
+    same_rows(secrets.query(spark, small), secrets.SQL, con)
+    assert seen == [want]
+    monkeypatch.setattr(secrets, "MAX_SENT", 0)
+    same_rows(secrets.query(spark, small), secrets.SQL, con)
+    assert seen == [want, want]
+
+
+def test_postings_of_odd_texts(spark):
+    """Short texts, wide characters, and trigrams across the border of two pieces."""
+    texts = [None, "", "ab", "AbC\nabc", "é😀x😀é", "é😀" * 40_000 + "end", "x" * 65_534 + "token=abcdef", "x" * 65_536 + "ab"]
+    df = docs(spark, *[(i, t, None, None) for i, t in enumerate(texts)])
+    want = spark.createDataFrame([(i, t) for i, text in enumerate(texts) for t in trigrams(text)], "doc_id long, t string").select(F.xxhash64("t"), F.xxhash64("doc_id"))
+    index = secrets.postings(df)
+    assert set(map(tuple, index.collect())) == set(map(tuple, want.collect()))
+    got = {r.doc_id: r for r in secrets.scan(df, index=index).collect()}
+    for i, t in enumerate(texts):
+        assert {x.kind: [(s.start, s.end) for s in got[i][x.kind]] for x in secrets.RULES} == brute_secrets(t or "")
+
+
 def test_rules_that_scan_everything_and_redaction(spark):
     df = docs(spark, (1, "a token=abcdef b " + "0" * 24, None, None), (2, "clean", None, None))
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [secret] b [secret]", 2: "clean"}
