@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, secrets, substring_dedup, token_output, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, quality, run_detection, secrets, substring_dedup, token_output, url_filter, vector_codes
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op10_token_output": token_output.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
+    "op11_quality": quality.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_run_detection": run_detection.query,
 }
 SQL = {
     "op1_url_filter": url_filter.SQL,
@@ -26,4 +29,5 @@ SQL = {
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
