@@ -28,8 +28,9 @@ class SparseIndex(NamedTuple):
 CHUNK = ""
 
 
-def counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf, doc_len), and a row with term CHUNK for every chunk.
+def counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(term, chunk_id, tf, doc_len, and the carried columns), and a row with
+    term CHUNK for every chunk.
 
     One pass tokenises each text once: an outer explode keeps the optimizer
     from testing the tokens for emptiness first, which would tokenise again.
@@ -37,13 +38,13 @@ def counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     after the explode, before anything shuffles. A chunk's terms are counted in
     its own task, so the shuffle moves counts.
     """
-    t = chunks.select(F.col(id_col).alias("chunk_id"), F.concat(tokenize(text_col), F.array(F.lit(CHUNK))).alias("terms"))
-    t = t.select("chunk_id", (F.size("terms") - 1).alias("doc_len"), "terms")
-    p = t.select("chunk_id", "doc_len", F.explode_outer("terms").alias("term"))
+    t = chunks.select(F.col(id_col).alias("chunk_id"), *carry, F.concat(tokenize(text_col), F.array(F.lit(CHUNK))).alias("terms"))
+    t = t.select("chunk_id", *carry, (F.size("terms") - 1).alias("doc_len"), "terms")
+    p = t.select("chunk_id", *carry, "doc_len", F.explode_outer("terms").alias("term"))
     if terms is not None:
         wanted = runtime.cut(terms.select("term").union(terms.sparkSession.range(1).select(F.lit(CHUNK))).distinct())
         p = p.join(F.broadcast(wanted) if wanted.count() <= MAX_TERMS else wanted, "term", "left_semi")
-    return p.groupBy("term", "chunk_id").agg(F.count("*").cast("double").alias("tf"), F.first("doc_len").alias("doc_len"))
+    return p.groupBy("term", "chunk_id").agg(F.count("*").cast("double").alias("tf"), F.first("doc_len").alias("doc_len"), *[F.first(c).alias(c) for c in carry])
 
 
 def index_of(counted: DataFrame) -> SparseIndex:

@@ -6,6 +6,7 @@ dense side are the vectors whose id is divisible by 50, against all vectors.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig, Config, EmbedConfig, LLMConfig, SearchConfig, StoreConfig
 from ..functions import runtime
 from ..functions import text as T
-from ..operators import chunking, dense, embedding, fusion, prompt, sparse
+from ..operators import blocks, chunking, dense, embedding, fusion, ivf, prompt, sparse
 from ..sources import documents as scans
-from ..sources import store
+from ..sources import cache, store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,6 +137,22 @@ def bm25_filter_source(spark, d):
     return _shown(sparse.search(sparse.build_for(c, q), q, 50, chunks=c, source="src0", element_type="en"))
 
 
+@register("bm25_blocks", f"WITH {bm25_sql()} {_SHOWN}")
+def bm25_blocks(spark, d):
+    """From stored postings in blocks: the folders of the questions' terms are
+    read, ranges that cannot reach the first 50 are skipped."""
+    counted = runtime.cut(sparse.counts(chunk_table(spark, d)))
+    n, words = counted.where(F.col("term") == sparse.CHUNK).agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    bucket = F.pmod(F.hash("chunk_id"), F.lit(8))
+    post = counted.where(F.col("term") != sparse.CHUNK).withColumn("doc_id", F.lit("")).withColumn("range", blocks.range_of(bucket, -(-n // 8)))
+    packed, s = blocks.pack(post), _store(spark)
+    s.append("postings", packed.withColumn(store.BUCKET, blocks.bucket_of()).withColumn("term_bucket", blocks.term_bucket()), "range", parts=("term_bucket",), order=("term",))
+    q = questions(spark, d)
+    terms = q.select(F.explode(T.tokenize("text")).alias("term")).select(blocks.term_bucket()).distinct()
+    stored = s.read("postings", packed.schema, where=F.col("term_bucket").isin([r[0] for r in terms.collect()]))
+    return _shown(blocks.Search(stored, q, n, words / n if n else 0.0, 50).hits())
+
+
 # -- dense -----------------------------------------------------------------
 
 
@@ -163,6 +180,63 @@ def dense_filter_label(spark, d):
     return _shown(dense.search(vectors(spark, d), vector_questions(spark, d), 50, 0.0, "label = 1"))
 
 
+#: of a question's lists, the share that is probed: the given vectors have no
+#: clusters to speak of, so nine of ten neighbours take three quarters
+PROBED = 0.75
+
+
+def lists_sql(k: int, where: str = "true", filtered: bool = False) -> str:
+    """Centroids and lists by the rules of operators.ivf, as integers."""
+    rounds = []
+    for i in range(ivf.ROUNDS + 1):
+        rounds.append(f"""own{i} AS MATERIALIZED (SELECT id, arg_min(list, {{'d': d, 'l': list}}) AS list FROM (
+  SELECT id, list, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM ints v, cent{i} c) GROUP BY id)""")
+        if i < ivf.ROUNDS:
+            rounds.append(f"""cent{i + 1} AS MATERIALIZED (WITH m AS (SELECT list, place, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM (
+    SELECT list, generate_subscripts(x, 1) AS place, unnest(x) AS v FROM own{i} JOIN ints USING (id)) GROUP BY ALL)
+  SELECT c.list, coalesce(m.x, c.x) AS x FROM cent{i} c LEFT JOIN (SELECT list, list(v ORDER BY place) AS x FROM m GROUP BY list) m USING (list))""")
+    last = ivf.ROUNDS
+    more = f" OR before < {ivf.ENOUGH * k}" if filtered else ""
+    return f"""ints AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, md5(vec_id::VARCHAR) AS h,
+  list_transform(embedding::DOUBLE[], lambda c: floor({ivf.SCALE} * (c / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda e: e * e)))))::BIGINT) AS x FROM embeddings),
+cent0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1) AS list, x FROM ints QUALIFY list < (SELECT ceil(sqrt(count(*))) FROM ints)),
+{", ".join(rounds)},
+held AS (SELECT list, count(id) AS n FROM cent{last} LEFT JOIN (SELECT list, id FROM own{last} JOIN ints USING (id) WHERE {where}) USING (list) GROUP BY list),
+near AS (SELECT q.id // 50 AS query_id, list, q.v, list_sum(list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM ints q, cent{last} c WHERE q.id % 50 = 0),
+asked AS (SELECT * FROM (SELECT *, row_number() OVER w AS r, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY d, list ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM near JOIN held USING (list) WINDOW w AS (PARTITION BY query_id ORDER BY d, list))
+  WHERE r <= (SELECT ceil({PROBED} * count(*)) FROM cent{last}){more}),
+cos AS (SELECT query_id, id AS chunk_id, list_cosine_similarity(a.v, b.v) AS score FROM asked a JOIN own{last} USING (list) JOIN ints b USING (id) WHERE {where}),
+dense AS (SELECT query_id, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rnk FROM cos WHERE score >= 0) WHERE rnk <= {k})"""
+
+
+def _listed(spark, d, k: int, where: str | None = None) -> DataFrame:
+    """The vectors stored by list, and the questions' lists read."""
+    v, s = vectors(spark, d), _store(spark)
+    centroids = ivf.fit(v, math.ceil(math.sqrt(v.count())))
+    table = ivf.assign(v, centroids)
+    s.append("vectors", table, "chunk_id", parts=("list",))
+
+    def read(lists=None) -> DataFrame:
+        rows = s.read("vectors", table.schema, where=None if lists is None else ivf.in_lists(lists))
+        return rows if where is None else rows.where(where)
+
+    held = None if where is None else ivf.rows_by_list(read(), len(centroids))
+    return ivf.search(read, centroids, vector_questions(spark, d), k, 0.0, math.ceil(PROBED * len(centroids)), held)
+
+
+@register("dense_topk_lists", f"WITH {lists_sql(10)} {_DENSE}")
+def dense_topk_lists(spark, d):
+    """Ten neighbours from an index of every vector by list."""
+    return _shown(_listed(spark, d, 10))
+
+
+@register("dense_filter_lists", f"WITH {lists_sql(10, 'label = 1', True)} {_DENSE}")
+def dense_filter_lists(spark, d):
+    """Ten neighbours among the vectors of a label; a question goes on to
+    further lists while it has too few of them."""
+    return _shown(_listed(spark, d, 10, "label = 1"))
+
+
 # -- fusion ----------------------------------------------------------------
 
 
@@ -371,7 +445,7 @@ def embed_batches(spark, d):
 
 
 def _store(spark) -> store.Store:
-    return store.Store(spark, f"{runtime.checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    return store.Store(spark, f"{runtime.checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
 
 
 @register("cache_stats", "SELECT count(DISTINCT sha256(text)) AS n FROM documents")
@@ -379,10 +453,11 @@ def cache_stats(spark, d):
     """Rows of a cache that all documents were put into, and those with an even
     id once more."""
     s = _store(spark)
+    c = cache.VectorCache(s)
     rows = _identified(spark, d).select(F.col("hash").alias("cache_key"), F.array().cast("array<float>").alias("vector"), F.lit("m").alias("model"), F.lit(None).cast("timestamp").alias("created_at"), "doc_id")
-    s.upsert("cache", store.CACHE, rows, "cache_key")
-    s.upsert("cache", store.CACHE, rows.where("doc_id % 2 = 0"), "cache_key")
-    return spark.range(1).select(F.lit(s.count("cache", store.CACHE)).cast("long").alias("n"))
+    s.transact(lambda change: c.put(change, rows))
+    s.transact(lambda change: c.put(change, rows.where("doc_id % 2 = 0")))
+    return c.read(s.snapshot()).agg(F.count("*").alias("n"))
 
 
 # -- stores ----------------------------------------------------------------
@@ -391,7 +466,7 @@ def cache_stats(spark, d):
 @register("index_upsert", "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark")
 def index_upsert(spark, d):
     s, rows = _store(spark), table(spark, d, "documents").select("doc_id", "text")
-    s.append("texts", rows)
+    s.append("texts", rows, "doc_id")
     s.upsert("texts", rows.schema, table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
     return s.read("texts", rows.schema)
 
@@ -399,16 +474,16 @@ def index_upsert(spark, d):
 @register("index_delete_doc", f"WITH {_POST} SELECT term, chunk_id, tf FROM post WHERE chunk_id NOT IN (SELECT doc_id FROM labels)")
 def index_delete_doc(spark, d):
     s, post = _store(spark), sparse.postings(chunk_table(spark, d)).select("term", "chunk_id", "tf")
-    s.append("postings", post)
+    s.append("postings", post, "chunk_id")
     s.delete("postings", post.schema, table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")), "chunk_id")
     return s.read("postings", post.schema)
 
 
 @register("store_snapshot", f"WITH {_POST} SELECT term, chunk_id, tf, doc_len::INT AS doc_len FROM post")
 def store_snapshot(spark, d):
-    """A written and reread index: two segments, then one new version."""
+    """A written and reread index: two segments, then one in their place."""
     s, post = _store(spark), sparse.postings(chunk_table(spark, d))
-    s.append("postings", post.where("chunk_id % 2 = 0"))
+    s.append("postings", post.where("chunk_id % 2 = 0"), "chunk_id")
     s.append("postings", post.where("chunk_id % 2 = 1"))
     s.replace("postings", s.read("postings", post.schema))
     return s.read("postings", post.schema)
@@ -624,7 +699,7 @@ def _engine(spark: SparkSession, least: float = 0.0):
     from .engine import Engine
 
     folder = runtime.checkpoint_folder(spark).rstrip("/")
-    cfg = Config(store=StoreConfig(path=f"{folder}/index-{uuid.uuid4().hex}", vector_dimension=64), search=SearchConfig(dense_score_threshold=least))
+    cfg = Config(store=StoreConfig(path=f"{folder}/index-{uuid.uuid4().hex}", vector_dimension=64, buckets=4, term_buckets=4), search=SearchConfig(dense_score_threshold=least))
     return Engine(spark, cfg)
 
 
@@ -665,3 +740,70 @@ def engine_retrieve(spark, d):
     engine.index_files(_markdown(spark, d).drop("region"))
     q = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.lower("n_name").alias("text"))
     return engine.retrieve(q).select("query_id", "source", "section_key", F.col("rnk").cast("long").alias("rnk"), F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+class LetterEmbedder:
+    """How often each letter of the alphabet is in a text: vectors that SQL can
+    make too. No language model."""
+
+    model, dimension = "letters", 26
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def _letters_sql(text: str) -> str:
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(lower({text})) - length(replace(lower({text}), c, '')))::DOUBLE)"
+
+
+def _document_files(spark, d) -> DataFrame:
+    """All documents as Markdown files."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.col("text").alias("content"))
+
+
+def _document_engine(spark: SparkSession):
+    from .engine import Engine
+
+    folder = runtime.checkpoint_folder(spark).rstrip("/")
+    cfg = Config(store=StoreConfig(path=f"{folder}/index-{uuid.uuid4().hex}", vector_dimension=26, buckets=8, term_buckets=8), search=SearchConfig(dense_score_threshold=0.5))
+    return Engine(spark, cfg, LetterEmbedder(), section_scope="document")
+
+
+#: documents are prose, a paragraph each; their chunks as a table
+_PIECES = rf"""files AS (SELECT doc_id AS n, 'docs/' || doc_id || '.md' AS source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, {uuid5_sql("'docs/' || doc_id || '.md|' || sha256(text)")} AS id FROM documents),
+split AS (SELECT *, {_SPLIT} AS p, length(text) > 1000 AS long_ FROM files),
+pieces AS (SELECT id, source, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS text FROM (SELECT id, source, CASE WHEN long_ THEN list_append(p, right(p[-1], 80)) ELSE p END AS p FROM split WHERE text <> ''))"""
+
+
+@register(
+    "index_report_documents",
+    f"""WITH {_PIECES}, c AS (SELECT source, count(*) AS n, count(*) AS hits FROM pieces GROUP BY source)
+SELECT source, coalesce(c.n, 0) AS chunk_count, coalesce(hits, 0) AS cache_hits FROM files LEFT JOIN c USING (source)""",
+)
+def index_report_documents(spark, d):
+    """Indexes all documents twice; the second time every vector is cached."""
+    engine, rows = _document_engine(spark), _document_files(spark, d)
+    engine.index_files(rows)
+    return engine.index_files(rows).select("source", "chunk_count", "cache_hits")
+
+
+_CHUNKED = f"""{_PIECES}, about AS (SELECT {uuid5_sql("id || '-' || i")} AS chunk_id, id AS section_key, i::INT AS chunk_index, source, text FROM pieces)"""
+_ENGINE = f"""{_CHUNKED}, ask AS (SELECT item_id::BIGINT AS query_id, {_letters_sql("'search_query: ' || text")} AS v FROM benchmark),
+said AS (SELECT chunk_id, {_letters_sql("'search_document: ' || text")} AS v FROM about),
+cos AS (SELECT query_id, chunk_id, list_cosine_similarity(ask.v, said.v) AS score FROM ask, said),
+dense AS (SELECT query_id, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rnk FROM cos WHERE score >= 0.5) WHERE rnk <= 50)"""
+
+
+@register(
+    "engine_retrieve_documents",
+    f"""WITH {_ENGINE}, {bm25_sql().replace("FROM documents", "FROM (SELECT chunk_id AS doc_id, text, NULL AS lang, source FROM about)")}, {cap_sql("dense", 5, "dc")}, {rrf_sql("dc", "sparse", 32, "f")}, {cap_sql("f", 3, "fc")}, {group_sql("fc", 8, "r")}
+SELECT query_id, source, chunk_index, rnk, round(score::DOUBLE, 6) AS score FROM r JOIN about USING (chunk_id)""",
+)
+def engine_retrieve_documents(spark, d):
+    """Benchmark items asked of a stored index of all documents, both sides of
+    the search at work."""
+    engine = _document_engine(spark)
+    engine.index_files(_document_files(spark, d))
+    hits = engine.retrieve(questions(spark, d))
+    return hits.select("query_id", "source", "chunk_index", F.col("rnk").cast("long").alias("rnk"), F.round(F.col("score").cast("double"), 6).alias("score"))
