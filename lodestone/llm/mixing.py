@@ -1,8 +1,15 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Equal-token blocks are the seats: they go to the highest quotients
-target / (2 * seats + 1). A source's documents are laid in a seeded order and
-cut into blocks of ``block`` words, and its blocks into ``SHARDS`` shards. Its
+Equal-token blocks are the seats. A source whose target is its limit has all of
+its seats; the others' go to the highest quotients target / (2 * seats + 1),
+none beyond a source's limit, its last one standing for the words that are left
+to the limit, until the words reach the sum of the targets; the last seat of all
+is cut to that sum. A block has ``BLOCK`` words, or fewer where a source's target
+is below LEAST_SEATS of them: then a LEAST_SEATS-th of the least target above 0,
+so that every source's words come near its target.
+
+A source's documents are laid in a seeded order and cut into blocks, and its
+blocks into ``SHARDS`` shards. Its
 seats are whole laps over all of its blocks and a rest; the rest is dealt to the
 shards as integer quotas, each in proportion to the shard's blocks, and a shard
 fills its quota with consecutive blocks, counted round from one that the seed
@@ -28,12 +35,15 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 128
+LEAST_SEATS = 4
+HALF = 0.500001  # sums of targets that end in a half round up, however they were added
 SHARDS = 16
 BUCKET_HEX = 3
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """sizes (source, source_size): adds rank, weight, target.
+    """sizes (source, source_size): adds rank, weight, limit, target and full,
+    whether the target is the limit.
 
     One row per source, so the windows over all of them are small. Targets are
     weight * level, at most ``most`` times the size; the level is read off
@@ -50,38 +60,51 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFr
     s = s.withColumn("below", F.sum("limit").over(by_ratio) - F.col("limit")).withColumn("weight_left", F.sum("weight").over(every) - F.sum("weight").over(by_ratio) + F.col("weight"))
     s = s.withColumn("level", (F.col("total") - F.col("below")) / F.col("weight_left"))
     s = s.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "rank", "level"))).over(every)["level"])
-    target = F.when(F.col("ratio") < F.coalesce("level", F.col("ratio") + 1), F.col("limit")).otherwise(F.col("weight") * F.col("level"))
-    return s.select("source", "source_size", "rank", "weight", target.alias("target"))
+    full = F.col("ratio") < F.coalesce("level", F.col("ratio") + 1)
+    s = s.withColumn("full", full).withColumn("target", F.when(full, F.col("limit")).otherwise(F.col("weight") * F.col("level")))
+    return s.select("source", "source_size", "rank", "weight", "limit", "target", "full")
 
 
-def apportion(t: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """t with rank and target: adds seats, the Sainte-Lague allocation of
-    round(sum of targets / block) seats. With n sources, a source of share p
-    differs from its exact quota by less than 2 + p * n seats, so quotients
-    are compared in that range only, whatever the number of seats."""
+def block_of(t: DataFrame, block: int = BLOCK) -> DataFrame:
+    """t with target: adds block, the same for every source."""
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy(F.lit(0)))
+    fits = F.floor(F.coalesce(least, F.lit(float(block * LEAST_SEATS))) / LEAST_SEATS)
+    return t.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), fits)).cast("long"))
+
+
+def apportion(t: DataFrame) -> DataFrame:
+    """t (rank, target, limit, full, block) → (rank, take): the words of each
+    source's seats.
+
+    With n sources that are not full, one of a share p of their targets differs
+    from its exact quota by some p * n seats, whatever the number of seats; caps
+    make no more than three times that many wander. So only quotients in that
+    range are compared: some 16 rows a source."""
     every = W.partitionBy(F.lit(0))
-    t = t.withColumn("sum", F.sum("target").over(every)).withColumn("n", F.count("*").over(every))
-    t = t.withColumn("house", F.round(F.col("sum") / block).cast("long"))
-    t = t.withColumn("quota", F.coalesce(F.try_divide(F.col("target"), F.col("sum")) * F.col("house"), F.lit(0.0)))
-    slack = F.lit(2) + F.ceil(F.coalesce(F.try_divide(F.col("target"), F.col("sum")), F.lit(0.0)) * F.col("n"))
-    t = t.withColumn("low", F.greatest(F.floor("quota") - slack, F.lit(0)).cast("long")).withColumn("high", (F.floor("quota") + slack).cast("long"))
-    seats = t.withColumn("k", F.explode(F.sequence("low", "high"))).withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
-    seats = seats.withColumn("lows", F.sum(F.when(F.col("k") == F.col("low"), F.col("low")).otherwise(0)).over(every))
-    place = F.row_number().over(every.orderBy(F.desc("quotient"), "rank", "k"))
-    won = seats.withColumn("won", (place <= F.col("house") - F.col("lows")).cast("long"))
-    return won.groupBy("rank").agg((F.first("low") + F.sum("won")).alias("seats"))
-
-
-def shard_quotas(t: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """t (source, source_size, rank, target) → (source, laps, take, quotas) with
-    quotas an array of (shard, first, blocks, quota, begin): a shard's blocks
-    from ``first`` on, how many of them are taken once more, and the one that
-    they are counted from. ``take`` is the words that the seats stand for, at
-    most ``most`` times the size."""
+    some = t.where("NOT full AND target > 0").withColumn("sum", F.sum("target").over(every)).withColumn("n", F.count("*").over(every))
+    some = some.withColumn("house", F.floor(F.col("sum") + HALF)).withColumn("quota", F.floor(F.col("target") / F.col("block")))
+    slack = F.lit(3) + 4 * F.ceil(F.col("target") / F.col("sum") * F.col("n"))
+    last = F.ceil(F.col("limit") / F.col("block")).cast("long") - 1
+    some = some.withColumn("low", F.greatest(F.least(F.col("quota") - slack, last), F.lit(0)).cast("long")).withColumn("high", F.greatest(F.least(F.col("quota") + slack, last), F.col("low")).cast("long"))
+    seats = some.withColumn("k", F.explode(F.sequence("low", "high"))).withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
+    seats = seats.withColumn("words", F.least(F.col("block"), F.col("limit").cast("long") - F.col("k") * F.col("block")))
+    sure = F.sum(F.when(F.col("k") == F.col("low"), F.col("low") * F.col("block")).otherwise(0)).over(every)
+    before = F.sum("words").over(every.orderBy(F.desc("quotient"), "rank", "k").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
+    won = seats.withColumn("won", F.greatest(F.least(F.col("words"), F.col("house") - sure - before), F.lit(0)))
+    dealt = won.groupBy("rank").agg((F.first(F.col("low") * F.col("block")) + F.sum("won")).cast("long").alias("take"))
+    return dealt.unionByName(t.where("full OR coalesce(target, 0) <= 0").select("rank", F.when(F.col("full"), F.col("limit")).otherwise(0).cast("long").alias("take")))
+
+
+def shard_quotas(t: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """t of ``targets`` → (source, block, laps, take, quotas) with quotas an
+    array of (shard, first, blocks, quota, begin): a shard's blocks from
+    ``first`` on, how many of them are taken once more, and the one that they
+    are counted from. ``take`` is the words that the seats stand for."""
     k = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    s = t.join(apportion(t, block, most), "rank").withColumn("take", F.least(F.col("seats") * block, F.col("source_size") * most))
+    t = block_of(t, block)
+    s = t.join(apportion(t), "rank")
     s = s.withColumn("laps", F.coalesce(F.expr("try_divide(take, source_size)").cast("long"), F.lit(0)))
-    s = s.withColumn("rest", F.floor((F.col("take") - F.col("laps") * F.col("source_size") + block // 2) / block)).withColumn("all", F.ceil(F.col("source_size") / block))
+    s = s.withColumn("rest", F.floor((F.col("take") - F.col("laps") * F.col("source_size") + F.floor(F.col("block") / 2)) / F.col("block"))).withColumn("all", F.ceil(F.col("source_size") / F.col("block")))
     s = s.withColumn("shard", k).withColumn("first", F.floor(F.col("shard") * F.col("all") / shards)).withColumn("end", F.floor((F.col("shard") + 1) * F.col("all") / shards))
 
     def dealt(upto):  # of the rest, what falls on the blocks before
@@ -90,10 +113,10 @@ def shard_quotas(t: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: i
     name = F.concat(F.lit(f"{seed}:"), F.col("shard").cast("string"), F.lit(":"), F.coalesce("source", F.lit("")))
     begin = F.coalesce(F.try_mod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("end") - F.col("first")), F.lit(0))
     q = F.struct("shard", F.col("first").cast("long").alias("first"), (F.col("end") - F.col("first")).cast("long").alias("blocks"), (dealt("end") - dealt("first")).cast("long").alias("quota"), begin.cast("long").alias("begin"))
-    return s.groupBy("rank").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("laps").alias("laps"), F.first("take").alias("take"), F.sort_array(F.collect_list(q)).alias("quotas"))
+    return s.groupBy("rank").agg(*[F.first(c).alias(c) for c in ("source", "source_size", "target", "block", "laps", "take")], F.sort_array(F.collect_list(q)).alias("quotas"))
 
 
-def words_of(start, size, quotas, block: int):
+def words_of(start, size, quotas, block):
     """Words of [start, start + size) that lie in the selected blocks: of each
     shard those from begin to begin + quota, and from its first on what goes
     round."""
@@ -134,13 +157,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block: int = B
         rows = Scratch(docs.sparkSession).cut(rows)
     sums = rows.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    seats = shard_quotas(t, SHARDS, block, most, seed).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).select("src", "source_size", "target", "laps", "quotas")
+    seats = shard_quotas(t, SHARDS, block, seed).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).select("src", "source_size", "target", "block", "laps", "quotas")
     before = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = sums.select("src", "bucket", before.alias("offset")).join(seats, "src")
     inside = W.partitionBy("src", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(placed, ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
-    taken = F.col("laps") * F.col("size") + words_of(F.col("start"), F.col("size"), F.col("quotas"), block)
+    taken = F.col("laps") * F.col("size") + words_of(F.col("start"), F.col("size"), F.col("quotas"), F.col("block"))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
@@ -165,17 +188,18 @@ fill AS (  -- share out the rest by weight, stop those above their limit, again
       weight * ((SELECT max(total) FROM w) - sum(CASE WHEN full_ OR target > lim THEN lim ELSE 0 END) OVER ())
       / sum(CASE WHEN full_ OR target > lim THEN 0 ELSE weight END) OVER () END
   FROM fill WHERE round <= (SELECT count(*) FROM w)),
-t AS (SELECT w.*, f.target FROM w JOIN fill f USING (rank) WHERE f.round = (SELECT max(round) FROM fill)),
-seat AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place
-         FROM t, generate_series(0, (SELECT round(sum(target) / {BLOCK})::BIGINT FROM t)) g(k)),
-won AS (SELECT rank, count(*) AS seats FROM seat WHERE place <= (SELECT round(sum(target) / {BLOCK})::BIGINT FROM t) GROUP BY rank),
-take AS (SELECT t.*, least(coalesce(seats, 0) * {BLOCK}, 2 * source_size)::BIGINT AS take FROM t LEFT JOIN won USING (rank)),
-laps AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS laps, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM take),
-rest AS (SELECT *, (take - laps * source_size + {BLOCK // 2}) // {BLOCK} AS rest FROM laps),
-shard AS (SELECT rank, k, k * blocks // {SHARDS} AS first_, (k + 1) * blocks // {SHARDS} AS end_, rest, blocks, source FROM rest, range({SHARDS}) s(k)),
-quota AS (SELECT rank, first_, end_, end_ * rest // blocks - first_ * rest // blocks AS quota, ('0x' || substr(md5('{SEED}:' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT % (end_ - first_) AS begin_ FROM shard WHERE end_ > first_),
-picked AS (SELECT rank, ((first_ + begin_) * {BLOCK})::BIGINT AS lo, ((first_ + least(begin_ + quota, end_ - first_)) * {BLOCK})::BIGINT AS hi FROM quota
-           UNION ALL SELECT rank, (first_ * {BLOCK})::BIGINT, ((first_ + greatest(begin_ + quota - (end_ - first_), 0)) * {BLOCK})::BIGINT FROM quota),
+t AS (SELECT w.*, f.target, f.full_ FROM w JOIN fill f USING (rank) WHERE f.round = (SELECT max(round) FROM fill)),
+b AS (SELECT greatest(1, least({BLOCK}, floor(coalesce(min(target) FILTER (target > 0), {BLOCK * LEAST_SEATS}.0) / {LEAST_SEATS})))::BIGINT AS block FROM t),
+seat AS (SELECT rank, least(block, lim::BIGINT - k * block) AS words, sum(least(block, lim::BIGINT - k * block)) OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS upto
+         FROM t, b, LATERAL (SELECT unnest(generate_series(0, ceil(lim / block)::BIGINT - 1)) AS k) WHERE NOT full_ AND target > 0),
+won AS (SELECT rank, sum(greatest(0, least(words, (SELECT floor(sum(target) + {HALF})::BIGINT FROM t WHERE NOT full_) - upto + words)))::BIGINT AS words FROM seat GROUP BY rank),
+take AS (SELECT t.*, block, CASE WHEN full_ THEN lim::BIGINT ELSE coalesce(words, 0) END AS take FROM b, t LEFT JOIN won USING (rank)),
+laps AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS laps, (source_size + block - 1) // block AS blocks FROM take),
+rest AS (SELECT *, (take - laps * source_size + block // 2) // block AS rest FROM laps),
+shard AS (SELECT rank, k, k * blocks // {SHARDS} AS first_, (k + 1) * blocks // {SHARDS} AS end_, rest, blocks, block, source FROM rest, range({SHARDS}) s(k)),
+quota AS (SELECT rank, block, first_, end_, end_ * rest // blocks - first_ * rest // blocks AS quota, ('0x' || substr(md5('{SEED}:' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT % (end_ - first_) AS begin_ FROM shard WHERE end_ > first_),
+picked AS (SELECT rank, ((first_ + begin_) * block)::BIGINT AS lo, ((first_ + least(begin_ + quota, end_ - first_)) * block)::BIGINT AS hi FROM quota
+           UNION ALL SELECT rank, (first_ * block)::BIGINT, ((first_ + greatest(begin_ + quota - (end_ - first_), 0)) * block)::BIGINT FROM quota),
 o AS (SELECT *, row_number() OVER () AS r, (sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d),
 extra AS (SELECT r, sum(greatest(least(start + size, hi) - greatest(start, lo), 0))::BIGINT AS words FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source JOIN picked USING (rank) GROUP BY r)
 SELECT o.doc_id, o.size::BIGINT AS size, source_size, round(target, 6) AS target, (laps * o.size + coalesce(words, 0))::BIGINT AS taken

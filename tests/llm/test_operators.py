@@ -570,23 +570,52 @@ def test_mix_of_odd_rows(spark):
     assert [r.taken for r in mixing.mix(docs(spark, (1, "", None, None), (2, None, None, "s"))).collect()] == [0, 0]
 
 
-def brute_seats(targets, house):
-    seats = [0] * len(targets)
-    for _ in range(house):
-        best = max(range(len(targets)), key=lambda i: (targets[i] / (2 * seats[i] + 1), -i))
+def brute_takes(targets, limits, full, block):
+    """Seat by seat to the highest quotient, none beyond a limit, until the
+    words are dealt."""
+    take = [m if f else 0 for m, f in zip(limits, full)]
+    seats, left = [0] * len(targets), int(sum(t for t, f in zip(targets, full) if not f) + 0.500001)
+    while left > 0:
+        free = [i for i, f in enumerate(full) if not f and targets[i] > 0 and take[i] < limits[i]]
+        best = max(free, key=lambda i: (targets[i] / (2 * seats[i] + 1), -i))
+        own = min(block, limits[best] - take[best], left)
+        take[best] += own
+        left -= own
         seats[best] += 1
-    return seats
+    return take
 
 
-def test_seats_equal_highest_quotients(spark):
+def test_words_equal_highest_quotients(spark):
     rng = random.Random(7)
-    for n in (1, 2, 5, 40):
-        t = [rng.choice([0.0, 1.0, rng.random() * 10, 10 ** rng.randrange(5)]) for _ in range(n)]
-        t[0] += 1.0
-        t = list(map(float, t))
-        df = spark.createDataFrame(list(enumerate(t)), "rank long, target double")
-        got = {r["rank"]: r.seats for r in mixing.apportion(df, 0.37).collect()}
-        assert [got[i] for i in range(n)] == brute_seats(t, round(sum(t) / 0.37 + 1e-9))
+    for n in (1, 2, 5, 40, 150):
+        sizes = [rng.choice([0, 1, 7, rng.randrange(1, 60), rng.randrange(50, 3000)]) for _ in range(n)]
+        s = spark.createDataFrame([(f"s{i:03d}", x) for i, x in enumerate(sizes)], "source string, source_size long")
+        t = mixing.block_of(mixing.targets(s))
+        rows = sorted(t.collect(), key=lambda r: r["rank"])
+        got = {r["rank"]: r["take"] for r in mixing.apportion(t).collect()}
+        want = brute_takes([r.target for r in rows], [int(r.limit) for r in rows], [r.full for r in rows], rows[0].block)
+        assert [got[i] for i in range(n)] == want
+        assert abs(sum(want) - sum(r.target for r in rows)) <= 1  # every word is dealt
+        assert all(abs(got[r["rank"]] - r.target) <= 2 * r.block for r in rows)
+
+
+@pytest.mark.parametrize("sizes", [[12] * 2000, [100] * 1000 + [100_000], [1, 2, 3, 50_000], [5] * 300 + [700] * 20])
+def test_small_sources_come_near_their_targets(spark, sizes):
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").withColumn("source", F.concat(F.lit("s"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))).withColumn("text", F.repeat(F.lit("w "), F.col("n")))
+    rows = mixing.mix(docs).collect()
+    assert sum(r.taken for r in rows) == pytest.approx(sum(r.target for r in rows), rel=0.01, abs=2)
+    block = max(1, min(mixing.BLOCK, int(min(r.target for r in rows) / mixing.LEAST_SEATS)))
+    assert all(abs(r.taken - r.target) <= 2 * block and r.taken <= 2 * r["size"] for r in rows)
+
+
+def test_mix_of_small_sources_equals_sql(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("source", F.concat("source", F.lit("-"), F.col("doc_id") % 7)).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(mixing.query(spark, str(tmp_path)), mixing.SQL, con)
 
 
 def test_targets_and_quotas(spark):
@@ -596,10 +625,11 @@ def test_targets_and_quotas(spark):
     assert t["a"] == 10_000 and t["c"] == 20 and t[None] == 5000 and t["b"] == pytest.approx(1.5 * 107_510 - 15_020)
     for shards in (1, 3, 16):
         for r in mixing.shard_quotas(mixing.targets(s), shards).collect():
-            blocks = -(-r.source_size // mixing.BLOCK)
+            blocks = -(-r.source_size // r.block)
+            assert r.block == 5  # a quarter of c's target
             assert [q.shard for q in r.quotas] == list(range(shards)) and sum(q.blocks for q in r.quotas) == blocks
             assert all(0 <= q.quota <= q.blocks and 0 <= q.begin <= max(0, q.blocks - 1) for q in r.quotas)
-            rest = (r.take - r.laps * r.source_size + mixing.BLOCK // 2) // mixing.BLOCK
+            rest = (r.take - r.laps * r.source_size + r.block // 2) // r.block
             assert sum(q.quota for q in r.quotas) == rest  # the shards' quotas are the source's rest
             assert all(abs(q.quota - q.blocks * rest / blocks) < 1 for q in r.quotas if blocks)
 
@@ -621,7 +651,7 @@ def test_mix_selects_each_shards_quota(spark, small, hot):
         key = lambda r: hashlib.md5(f"{mixing.SEED}:{r.doc_id if r.doc_id is not None else 'null:' + hashlib.sha256((r.text or '').encode()).hexdigest()}".encode()).hexdigest()
         at, want, own = 0, [], [r for r in rows if r.source == q.source]
         for r in sorted(own, key=lambda r: (key(r), r["size"])):
-            want.append((key(r), q.laps * r["size"] + sum(w // mixing.BLOCK in chosen for w in range(at, at + r["size"]))))
+            want.append((key(r), q.laps * r["size"] + sum(w // q.block in chosen for w in range(at, at + r["size"]))))
             at += r["size"]
         assert at == q.source_size
         assert sorted((key(r), r.taken) for r in own) == sorted(want)  # equal rows tie
