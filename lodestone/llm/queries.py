@@ -12,6 +12,7 @@ QUERIES = {
     "op4_minhash_dedup": minhash_dedup.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_chat_format": chat_format.query,
+    "chat_format_events": chat_format.events_query,
     "op7_mixing": mixing.query,
     "op10_token_output": token_output.query,
     "op8_exact_dedup": exact_dedup.query,
@@ -26,6 +27,7 @@ SQL = {
     "op2_secrets": secrets.SQL,
     "op4_minhash_dedup": minhash_dedup.SQL,
     "op6_chat_format": chat_format.SQL,
+    "chat_format_events": chat_format.EVENTS_SQL,
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,

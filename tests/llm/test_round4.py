@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import duck, same_rows
-from lodestone.llm import quality, run_detection, vector_codes
+from lodestone.llm import chat_format, quality, run_detection, vector_codes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -212,3 +212,24 @@ def test_the_sample_bounds_what_is_fitted(spark, small, most, monkeypatch):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     out, _ = quality.score(docs, labels, fit_rows=most)
     assert out.count() == docs.count()
+
+
+# -- chat formatting -----------------------------------------------------------
+
+
+def test_logs_with_every_kind_of_event_equal_sql(spark, small):
+    assert same_rows(chat_format.events_query(spark, small), chat_format.EVENTS_SQL, duck(small))
+
+
+def test_many_regenerations(spark):
+    """Each of 30,000 turns is regenerated after all were said; the last
+    regeneration logged is that of turn 0, of which nothing is left but what
+    came after."""
+    n = 30_000
+    log = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "stack(2, id, 'message', 100000L + 2 * id, 'regenerate') AS (seq, event)", "'user' AS role")
+    log = log.withColumn("text", F.concat("event", F.col("turn").cast("string")))
+    got = chat_format.fold(log).agg(F.count("*").alias("n"), F.sum(F.when(F.col("text") == F.concat(F.lit("regenerate"), "turn"), 1)).alias("same")).first()
+    assert got.n == n and got.same == n
+    withdrawn = log.unionByName(spark.sql("SELECT 1L AS conv_id, 5L AS turn, 900000L AS seq, 'regenerate' AS event, 'user' AS role, 'last' AS text"))
+    rows = chat_format.fold(withdrawn).orderBy("turn").collect()
+    assert [r.turn for r in rows] == list(range(6)) and rows[5].text == "last"
