@@ -9,11 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import Engine
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
+#: names that the extractors take, in any case; other files are not read
+NAMES = "*.{[mM][dD],[hH][tT][mM],[hH][tT][mM][lL]}"
 
 
 def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """(source, content, checksum) of the folder's Markdown and HTML files."""
-    files = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.{md,MD,html,htm,HTML,HTM}").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", NAMES).load(folder)
     return files.select(F.col("path").alias("source"), "content", F.sha2("content", 256).alias("checksum"))
 
 
