@@ -807,3 +807,17 @@ def engine_retrieve_documents(spark, d):
     engine.index_files(_document_files(spark, d))
     hits = engine.retrieve(questions(spark, d))
     return hits.select("query_id", "source", "chunk_index", F.col("rnk").cast("long").alias("rnk"), F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@register(
+    "engine_answers_documents",
+    f"""WITH {_ENGINE}, {bm25_sql().replace("FROM documents", "FROM (SELECT chunk_id AS doc_id, text, NULL AS lang, source FROM about)")}, {cap_sql("dense", 5, "dc")}, {rrf_sql("dc", "sparse", 32, "f")}, {cap_sql("f", 3, "fc")}, {group_sql("fc", 8, "r")},
+top AS (SELECT query_id, CASE WHEN length(text) > 600 THEN left(text, 600) || '...' ELSE text END AS text FROM r JOIN about USING (chunk_id) WHERE rnk = 1)
+SELECT item_id::BIGINT AS query_id, b.text AS query, '[offline extract] ' || coalesce(array_to_string(list_filter(regexp_split_to_array(top.text, '\\s+'), lambda w: w <> '')[1:200], ' '), 'no context') AS answer FROM benchmark b LEFT JOIN top ON query_id = item_id""",
+)
+def engine_answers_documents(spark, d):
+    """Benchmark items asked of the same index, answered by the offline stand-in
+    of a model: the start of the first chunk that it is given."""
+    engine = _document_engine(spark)
+    engine.index_files(_document_files(spark, d))
+    return engine.query(questions(spark, d)).select("query_id", "query", "answer")
