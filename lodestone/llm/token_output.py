@@ -139,8 +139,8 @@ class _Table:
     ``step`` pieces are added before it is looked at again, so a quarter of the
     slots is always free."""
 
-    MOST = 400_000
-    SLOTS = 1 << 20
+    MOST = 700_000
+    SLOTS = 1 << 21
 
     def __init__(self):
         self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
